@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN = -1
-SLOT_LIMIT = 100_000
+SLOT_LIMIT = 10_000
 
 
 def slots_of(snapshots: DataFrame) -> list[tuple[int, bool]]:
@@ -87,11 +87,11 @@ def versions(current: DataFrame, slots: list[tuple[int, bool]]) -> DataFrame:
     lacks it says nothing.
     """
     if not slots:
-        return current.select("fingerprint", "status", F.col("slot").alias("valid_from"), F.lit(OPEN).cast("long").alias("valid_to")).limit(0)
+        none = F.lit(OPEN).cast("long").alias("valid_to")
+        return current.select("fingerprint", "status", F.col("slot").alias("valid_from"), none).filter(F.lit(False))
     whole = [c for c, w in slots if w]
     axis = F.array(*[F.lit(c).cast("long") for c in whole]) if whole else F.array().cast("array<bigint>")
-    following = F.element_at(F.filter(axis, lambda c: c > F.col("slot")), 1)
-    following = F.when(F.size(F.filter(axis, lambda c: c > F.col("slot"))) > 0, following)
+    following = F.get(F.filter(axis, lambda c: c > F.col("slot")), F.lit(0))
     order = Window.partitionBy("fingerprint").orderBy("slot")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     shown = current.select(
@@ -107,8 +107,8 @@ def versions(current: DataFrame, slots: list[tuple[int, bool]]) -> DataFrame:
     marked = shown.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(upto))
     end = F.coalesce("gone", "next", F.lit(OPEN))
     return marked.groupBy("fingerprint", "run").agg(
-        F.first("status").alias("status"), F.min("slot").alias("valid_from"), F.max(F.struct("slot", end)).alias("e")
-    ).select("fingerprint", "status", F.col("valid_from").cast("long"), F.col("e.col2").cast("long").alias("valid_to"))
+        F.first("status").alias("status"), F.min("slot").alias("valid_from"), F.max_by(end, "slot").alias("e")
+    ).select("fingerprint", "status", F.col("valid_from").cast("long"), F.col("e").cast("long").alias("valid_to"))
 
 
 def status_history(rows: DataFrame, snapshots: DataFrame, as_of=None) -> DataFrame:
