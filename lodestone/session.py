@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,3 +76,17 @@ class FileStore:
 
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestone_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="lodestone-ship-")) / "lodestone_package.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(out))
+    sc._lodestone_shipped = True
