@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, leakage
+from lodestone.llm import bpe, leakage, reading
 from lodestone.session import read
 
 TOKENIZERS = os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers")
@@ -24,7 +24,11 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_cleaned": p8_cleaned}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found}
 
 _P8 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
