@@ -6,12 +6,32 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, leakage, reading
+from lodestone.llm import bpe, code_docs, leakage, pii, reading
 from lodestone.session import read
 
 TOKENIZERS = os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_docs.pairs(read(spark, sf_dir, "source_files")).select("file_id", "start_line", "symbol_name")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_docs.pairs(read(spark, sf_dir, "source_files"))
+
+
+def p3_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_docs.with_hints(code_docs.pairs(read(spark, sf_dir, "source_files")), read(spark, sf_dir, "code_docs"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_information(read(spark, sf_dir, "jira_comments"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(read(spark, sf_dir, "jira_comments"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -28,7 +48,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p3_hints": p3_hints, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found}
 
 _P8 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
