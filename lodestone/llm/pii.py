@@ -146,7 +146,7 @@ ADDRESS = re.compile(
     r"(?:Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Close|Terrace|Place|Pl|Square|Sq|Way|Crescent|Gardens|Row|Mews|Parkway|Pkwy|Hill|Walk|Grove)\.?"
     r"(?:,? (?:Apt|Apartment|Suite|Unit|#) ?\d+\w?)?" + _CITY + r"|"
     r"\d{1,4}[a-z]?(?: (?:bis|ter|quater))?,? (?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|square|route) [^,\n\"<>{}]{2,40}" + _CITY + r"|"
-    r"(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Carrera|C/|Ronda|Travesía) ?[^,\n\"<>{}\d]{2,40},? \d{1,4}\w?(?:, ?\d+ ?º ?[A-Z]?)?" + _CITY + r"|"
+    r"(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Carrera|C/|Ronda|Travesía) ?[^,\n\"<>{}\d]{2,40},? \d{1,4}\w?(?:, ?\d+ ?[ºªo°] ?[A-Z]?)?" + _CITY + r"|"
     r"[A-ZÄÖÜ][\wäöüß-]*(?:str\.|straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|steig) ?\d{1,4} ?[a-z]?" + _CITY + r"|"
     r"(?:[A-ZÄÖÜ][\wäöüß-]* )(?:Straße|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer) \d{1,4} ?[a-z]?" + _CITY + r")"
 )
@@ -160,7 +160,8 @@ def fold(word: str) -> str:
 
 
 BITS = 1 << 22
-GIVEN, SURNAME, TAIL = "g", "s", "t"
+GIVEN, SURNAME, TAIL, GIVEN_TAIL = "g", "s", "t", "u"
+TAIL_SIZE, GIVEN_TAIL_SIZE, TAIL_NAMES = 3, 3, 3
 
 
 def slots(kind: str, key: str) -> list[int]:
@@ -181,14 +182,17 @@ class Lexicon:
         return all(self.bits[s >> 3] >> (7 - (s & 7)) & 1 for s in slots(kind, key))
 
     def kind(self, word: str) -> int:
-        """1 given name, 2 surname, 4 ending of surnames; 0 none."""
+        """1 given name, 2 surname, 4 ending of surnames, 8 ending of given names; 0 none."""
         k = self.memo.get(word)
         if k is None:
             key = fold(word)
             if key in ROLES or len(key) < 2:
                 k = 0
             else:
-                k = self._has(GIVEN, key) + 2 * self._has(SURNAME, key) + 4 * (len(key) > 5 and self._has(TAIL, key[-5:]))
+                k = self._has(GIVEN, key) + 2 * self._has(SURNAME, key)
+                if word[0].isupper():
+                    k += 4 * (len(key) > TAIL_SIZE + 1 and self._has(TAIL, key[-TAIL_SIZE:]))
+                    k += 8 * (len(key) > GIVEN_TAIL_SIZE + 1 and self._has(GIVEN_TAIL, key[-GIVEN_TAIL_SIZE:]))
             if len(self.memo) < 1_000_000:
                 self.memo[word] = k
         return k
@@ -202,7 +206,7 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Spans of a surname with a given name or initial, in either order and any case."""
     words = WORD.findall(text)
     kind = lexicon.kind
-    if not any(kind(w) & 3 for w in words):
+    if not any(kind(w) & 6 for w in words):
         return []
     toks = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
     kinds = [kind(w) for _, _, w in toks]
@@ -213,9 +217,9 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
 
     def given(i: int) -> int | None:
         """Index after the given names that begin at i, or None."""
-        if i >= n or not kinds[i] & 1:
+        if i >= n or not kinds[i] & 9:
             return None
-        while gap(i) == "-" and kinds[i + 1] & 1:
+        while gap(i) == "-" and kinds[i + 1] & 9:
             i += 1
         return i + 1
 
@@ -230,8 +234,7 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
             i += 1
         if i >= n:
             return None
-        w = toks[i][2]
-        if kinds[i] & 2 or (not strict and kinds[i] & 4 and w[0].isupper()):
+        if kinds[i] & 2 or (not strict and kinds[i] & 4):
             while gap(i) == "-" and kinds[i + 1] & 2:
                 i += 1
             return i + 1
@@ -246,18 +249,18 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
             end = surname(initials(j), strict)
         if end is None and i + 1 < n and len(toks[i][2]) == 1 and toks[i][2].isupper() and gap(i) in (". ", "."):
             j = initials(i)
-            end = surname(j, True) if j > i else None
-        if end is None and (kinds[i] & 2 or toks[i][2].lower() in PARTICLES):
-            j = surname(i, True)
+            end = surname(j, False) if j > i else None
+        if end is None and (kinds[i] & 6 or toks[i][2].lower() in PARTICLES):
+            j = surname(i, False)
             if j is not None and j < n:
                 between = gap(j - 1)
                 if between in (", ", ","):
                     end = given(j)
                     if end is None and len(toks[j][2]) == 1 and toks[j][2].isupper() and text[toks[j][1] : toks[j][1] + 1] == ".":
                         end = j + 1
-                elif _blank(between):
+                elif _blank(between) and kinds[i] & 2 and kinds[j] & 1:
                     end = given(j)
-                    if end is not None and end < n and _blank(gap(end - 1)) and surname(initials(end), True):
+                    if end is not None and end < n and _blank(gap(end - 1)) and surname(initials(end), False):
                         end = None
         if end is None:
             i += 1
@@ -267,8 +270,11 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
     return found
 
 
-def find(text: str | None, lexicon: Lexicon) -> list[tuple[str, int, int]]:
-    """(type, start, end) of all personal information, positions in the stored text."""
+def find(text: str | None, lexicon: Lexicon, whole_name: bool = False) -> list[tuple[str, int, int]]:
+    """(type, start, end) of all personal information, positions in the stored text.
+
+    ``whole_name``: the text is an account's name, so its form alone may show a person.
+    """
     if not text:
         return []
     m = normalise(text)
@@ -291,6 +297,9 @@ def find(text: str | None, lexicon: Lexicon) -> list[tuple[str, int, int]]:
         take("id_number", (x.span() for x in ID_PLAIN.finditer(t)))
         take("phone", (x.span() for x in PHONE.finditer(t) if 8 <= sum(c.isdigit() for c in x[0]) <= 16))
     take("name", names_in(t, lexicon))
+    if whole_name and not any(k == "name" for k, _, _ in taken) and name_pairs(t):
+        m2 = PERSON.match(t)
+        take("name", [(len(t) - len(t.lstrip()), m2.end())])
     return sorted((k, m.source(a), m.source(b) if b < len(t) else len(text)) for k, a, b in taken)
 
 
@@ -328,8 +337,8 @@ def name_pairs(name: str | None) -> list[tuple[str, str]]:
 def learn_names(people: DataFrame, column: str = "display_name") -> Lexicon:
     """The names that the display names of all rows show, as a filter of fixed size.
 
-    A pair counts if another person shares its given name or its surname. An ending counts if
-    three surnames have it. What comes to the driver are bit positions, at most ``BITS``.
+    An ending counts if ``TAIL_NAMES`` different names have it. What comes to the driver are bit
+    positions, at most ``BITS`` of them.
     """
     ship(people.sparkSession)
 
@@ -341,14 +350,16 @@ def learn_names(people: DataFrame, column: str = "display_name") -> Lexicon:
             )
 
     pairs = people.select(column).filter(F.col(column).isNotNull()).distinct().mapInArrow(parse, "g string, s string").distinct()
-    by_g, by_s = pairs.groupBy("g").count(), pairs.groupBy("s").count()
-    shared = pairs.join(by_g.withColumnRenamed("count", "ng"), "g").join(by_s.withColumnRenamed("count", "ns"), "s")
-    good = shared.filter((F.col("ng") > 1) | (F.col("ns") > 1))
-    tails = good.select("s").distinct().filter(F.length("s") > 5).groupBy(F.expr("right(s, 5)").alias("key")).count()
+    def endings(part: str, size: int, kind: str) -> DataFrame:
+        names = pairs.select(F.col(part).alias("name")).distinct().filter(F.length("name") > size)
+        tails = names.groupBy(F.expr(f"right(name, {size})").alias("key")).count()
+        return tails.filter(F.col("count") >= TAIL_NAMES).select(F.lit(kind).alias("kind"), "key")
+
     keys = (
-        good.select(F.lit(GIVEN).alias("kind"), F.col("g").alias("key"))
-        .union(good.select(F.lit(SURNAME), "s"))
-        .union(tails.filter("count > 2").select(F.lit(TAIL), "key"))
+        pairs.select(F.lit(GIVEN).alias("kind"), F.col("g").alias("key"))
+        .union(pairs.select(F.lit(SURNAME), "s"))
+        .union(endings("s", TAIL_SIZE, TAIL))
+        .union(endings("g", GIVEN_TAIL_SIZE, GIVEN_TAIL))
         .distinct()
     )
 
@@ -380,7 +391,7 @@ def personal_information(comments: DataFrame, key: str = "fetch_id", fields: tup
             rows: list[tuple[int, str, str, int]] = []
             for n, name in enumerate(fields):
                 for k, text in enumerate(batch.column(n + 1).to_pylist()):
-                    rows.extend((k, name, what, a) for what, a, _ in find(text, lexicon))
+                    rows.extend((k, name, what, a) for what, a, _ in find(text, lexicon, name == people))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
@@ -405,8 +416,8 @@ def redacted(comments: DataFrame, key: str = "fetch_id", fields: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [
-                pa.array([redact(t, find(t, shared.value)) for t in batch.column(n + 1).to_pylist()], pa.string())
-                for n in range(len(fields))
+                pa.array([redact(t, find(t, shared.value, f == people)) for t in batch.column(n + 1).to_pylist()], pa.string())
+                for n, f in enumerate(fields)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *fields])
 
