@@ -64,9 +64,11 @@ def semantic_reach(graph: Graph, roots: DataFrame, seeds: DataFrame, hops: int =
         guess = F.col("claim_class") == "inference"
         stale = F.col("status") == "stale"
         ok = stale | ~guess | (~F.col("inferred") & (F.col("confidence_bp") >= WEAK_BP))
-        step = step.filter(ok).select("seed", F.col("there").alias("key"), (F.col("inferred") | guess).alias("inferred"), stale.alias("stale")).distinct()
+        step = materialise(step.filter(ok).select("seed", F.col("there").alias("key"), (F.col("inferred") | guess).alias("inferred"), stale.alias("stale")).distinct(), f"step-{depth}")
         reached = reached.unionByName(step.select("seed", "key"))
-        frontier = step.filter(~F.col("stale")).select("seed", "key", "inferred").distinct().join(seen, ["seed", "key", "inferred"], "left_anti")
+        if depth + 1 == hops:
+            break
+        frontier = materialise(step.filter(~F.col("stale")).select("seed", "key", "inferred").distinct().join(seen, ["seed", "key", "inferred"], "left_anti"), f"hop-{depth}")
         seen = seen.unionByName(frontier)
         frontier = frontier.withColumn("is_seed", F.lit(False))
     return reached.distinct()
@@ -82,13 +84,22 @@ def uncertainties(graph: Graph) -> DataFrame:
     return sem.select("fingerprint", text, reason.alias("reason")).filter(F.col("reason").isNotNull()).distinct()
 
 
+def settled(graph: Graph) -> Graph:
+    """The graph's traversal columns, derived once and read back by every hop."""
+    nodes = graph.nodes.select("stable_key", "identifier", "kind", "is_test")
+    edges = graph.edges.select("src", "dst", "kind", "status", "claim_class", "confidence_bp")
+    return Graph(materialise(nodes, "nodes"), materialise(edges, "edges"))
+
+
 def impact(graph: Graph, seeds: DataFrame) -> DataFrame:
     """Impact of every seed at once: (seed, bucket, stable_key, identifier).
 
     ``seeds``: (seed, key); one seed may stand for several keys. One structural hop, then three
     semantic ones, then each node into its part of the report. Keys without a node are left out.
     """
-    reached = semantic_reach(graph, structural_hop(graph, seeds), seeds)
+    graph = settled(graph)
+    seeds = materialise(seeds.select("seed", "key"), "seeds")
+    reached = semantic_reach(graph, materialise(structural_hop(graph, seeds), "roots"), seeds)
     nodes = graph.nodes.select("stable_key", "identifier", bucket(F.col("kind"), F.col("is_test")).alias("bucket"))
     return (
         reached.withColumnRenamed("key", "stable_key").join(nodes, "stable_key").filter(F.col("bucket").isNotNull())

@@ -11,16 +11,17 @@ from lodestone.operators.graph import both_ways
 from lodestone.sources.graph import Graph
 
 # Weights of the signals and the threshold, in basis points.
-LEXICAL, STRUCTURAL, TEST, DATA = 3500, 3000, 1500, 1000
+LEXICAL, STRUCTURAL, TEST, DATA, ARTIFACT = 3500, 3000, 1500, 1000, 1000
 KEEP = 6500
 
 
-def link_candidates(graph: Graph, keep: int = KEEP) -> DataFrame:
-    """(symbol, intent, relation, lexical, structural, test, data, score) of links worth a review.
+def link_candidates(graph: Graph, keep: int = KEEP, evidence: DataFrame | None = None) -> DataFrame:
+    """(symbol, intent, relation, lexical, structural, test, data, artifact, score) of links worth a review.
 
-    A link needs 6500 points. Without a structural signal the others reach at most 6000, so only
-    symbols that are call neighbours of, or share a file with, code already tied to the intent can
-    qualify: candidates come from those joins, never from all pairs. Existing links are left out.
+    ``evidence``: (intent, symbol) of symbols that an artifact behind the intent changed. A link
+    needs 6500 points. Words, tests and data reach at most 6000, so only symbols that are call
+    neighbours of code tied to the intent, share its file or are in the evidence can qualify:
+    candidates come from those joins, never from all pairs. Existing links are left out.
     """
     nodes, edges = graph.nodes, graph.edges
     intents = nodes.filter(F.col("kind").isin(*INTENTS)).select(F.col("stable_key").alias("intent"), F.col("kind").alias("intent_kind"), requirement_terms(F.concat_ws(" ", "identifier", "name", "body")).alias("ti"))
@@ -35,7 +36,9 @@ def link_candidates(graph: Graph, keep: int = KEEP) -> DataFrame:
     near = verified.join(calls.filter("status = 'active'"), F.col("known") == F.col("here")).select("intent", F.col("there").alias("symbol"), F.lit(10).alias("s"))
     files = verified.join(nodes.select(F.col("stable_key").alias("known"), "file_path"), "known").filter("file_path is not null").select("intent", "file_path").distinct()
     beside = files.join(symbols.select("symbol", "file_path"), "file_path").select("intent", "symbol", F.lit(6).alias("s"))
-    structural = near.unionByName(beside).groupBy("intent", "symbol").agg(F.max("s").alias("s"))
+    backed = near.filter(F.lit(False)).select("intent", "symbol") if evidence is None else evidence.select("intent", "symbol")
+    signals = near.unionByName(beside).withColumn("f", F.lit(0)).unionByName(backed.select("intent", "symbol", F.lit(0).alias("s"), F.lit(10).alias("f")))
+    structural = signals.groupBy("intent", "symbol").agg(F.max("s").alias("s"), F.max("f").alias("f"))
     linked = edges.select(F.col("src").alias("symbol"), F.col("dst").alias("intent")).distinct()
     base = structural.join(linked, ["symbol", "intent"], "left_anti").join(symbols, "symbol").join(intents, "intent")
     tests = nodes.filter("is_test").select(F.col("stable_key").alias("there"))
@@ -49,7 +52,7 @@ def link_candidates(graph: Graph, keep: int = KEEP) -> DataFrame:
     lexical = F.least(F.size(F.array_intersect("ts", "ti")), F.lit(4)) * (LEXICAL // 4)
     out = scored.select(
         "symbol", "intent", F.when(F.col("intent_kind") == "invariant", "enforces").when(F.col("intent_kind") == "decision", "satisfies").otherwise("implements").alias("relation"),
-        lexical.alias("lexical"), (F.col("s") * (STRUCTURAL // 10)).alias("structural"), (F.coalesce("t", F.lit(0)) * (TEST // 10)).alias("test"), (F.coalesce("d", F.lit(0)) * (DATA // 10)).alias("data"),
+        lexical.alias("lexical"), (F.col("s") * (STRUCTURAL // 10)).alias("structural"), (F.coalesce("t", F.lit(0)) * (TEST // 10)).alias("test"), (F.coalesce("d", F.lit(0)) * (DATA // 10)).alias("data"), (F.col("f") * (ARTIFACT // 10)).alias("artifact"),
     )
-    total = F.col("lexical") + F.col("structural") + F.col("test") + F.col("data")
+    total = F.col("lexical") + F.col("structural") + F.col("test") + F.col("data") + F.col("artifact")
     return out.withColumn("score", total).filter(F.col("score") >= keep)

@@ -160,7 +160,7 @@ ORACLE = {
  ac AS (SELECT DISTINCT src, dst, kind FROM e WHERE kind IN ('reads_from','writes_to') AND status = 'active'),
  da AS (SELECT vf.intent, b.src AS symbol, max(CASE WHEN a.kind = b.kind THEN 10 ELSE 6 END) AS d FROM vf JOIN ac a ON a.src = vf.known JOIN ac b ON b.dst = a.dst GROUP BY 1, 2),
  sc AS (SELECT st.symbol, st.intent, CASE it.kind WHEN 'invariant' THEN 'enforces' WHEN 'decision' THEN 'satisfies' ELSE 'implements' END AS relation, least(len(list_intersect(ts, it.t)), 4) * 875 AS lexical, s * 300 AS structural,
- CASE WHEN te.symbol IS NULL THEN 0 ELSE 1500 END AS test, coalesce(d, 0) * 100 AS data FROM st JOIN sy USING (symbol) JOIN it ON it.stable_key = st.intent LEFT JOIN te ON te.intent = st.intent AND te.symbol = st.symbol
+ CASE WHEN te.symbol IS NULL THEN 0 ELSE 1500 END AS test, coalesce(d, 0) * 100 AS data, 0 AS artifact FROM st JOIN sy USING (symbol) JOIN it ON it.stable_key = st.intent LEFT JOIN te ON te.intent = st.intent AND te.symbol = st.symbol
  LEFT JOIN da ON da.intent = st.intent AND da.symbol = st.symbol WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = st.symbol AND dst = st.intent))
  SELECT *, lexical + structural + test + data AS score FROM sc WHERE lexical + structural + test + data >= 3000""",
 }

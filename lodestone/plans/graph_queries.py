@@ -48,11 +48,12 @@ def impact_uncertainties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Names that external handlers give, resolved to nodes by exact match or dotted suffix."""
+    """Handlers and the last two parts of all identifiers, resolved to nodes by exact match or dotted suffix."""
     graph = load(spark, d)
-    wanted = read(spark, d, "external_calls").select(F.col("handler").alias("query")).union(read(spark, d, "endpoints").select("handler")).distinct()
-    tail = wanted.select(F.element_at(F.split("query", r"\."), -1).alias("query")).union(wanted).distinct()
-    return g.resolve(graph.nodes, tail)
+    named = read(spark, d, "external_calls").select(F.col("handler").alias("query")).union(read(spark, d, "endpoints").select("handler"))
+    parts = F.split("identifier", r"\.")
+    tails = read(spark, d, "nodes").select(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("query"))
+    return g.resolve(graph.nodes, named.union(tails).filter("query <> ''").distinct())
 
 
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
@@ -310,8 +311,7 @@ _BODY = {
     "impact_uncertainties": f"""SELECT DISTINCT fingerprint, src || ' ' || kind || ' ' || dst AS claim,
  CASE WHEN status = 'stale' THEN coalesce(stale_reason, 'stale relationship') ELSE coalesce(stale_reason, 'inferred relationship') END AS reason
  FROM e WHERE kind IN {_S} AND status <> 'rejected' AND (status = 'stale' OR claim_class = 'inference')""",
-    "resolve_tiers": """, h AS (SELECT handler FROM external_calls UNION SELECT handler FROM endpoints),
- w AS (SELECT handler AS query FROM h UNION SELECT string_split(handler, '.')[-1] FROM h),
+    "resolve_tiers": """, w AS (SELECT handler AS query FROM external_calls UNION SELECT handler FROM endpoints UNION SELECT array_to_string(string_split(identifier, '.')[-2:], '.') FROM nodes WHERE identifier <> ''),
  names AS (SELECT stable_key, stable_key AS query FROM n UNION SELECT stable_key, identifier FROM n UNION SELECT stable_key, name FROM n),
  exact AS (SELECT DISTINCT query, stable_key FROM w JOIN names USING (query)),
  rest AS (SELECT * FROM w WHERE query NOT IN (SELECT query FROM exact))
