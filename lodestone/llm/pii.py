@@ -84,6 +84,7 @@ SAID_AT = re.compile(
 BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|ät|arroba)\s?[\])}>]\s?", re.I)
 BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|punto|point)\s?[\])}>]\s?", re.I)
 SAID = re.compile(r" (at|dot) ")
+BRACKETED = re.compile(r"[\[({<] ?(?:at|ät|arroba)\b", re.I)
 
 
 def _plain(m: re.Match) -> str | None:
@@ -98,8 +99,8 @@ def _digits(m: re.Match) -> str:
     return "".join(DIGIT_WORDS[w.lower()] for w in re.findall(r"[^\W\d_]+", m[0])) + (" " if m[0][-1:] in " ,-" else "")
 
 
-def normalise(text: str) -> Mapped:
-    """The transducers one after the other; each does nothing where its signs are absent."""
+def unveil(text: str) -> Mapped:
+    """Escapes, entities and lookalikes; each step does nothing where its signs are absent."""
     m = Mapped(text)
     if "\\" in text and text.lstrip()[:1] == "{":
         names = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " "}
@@ -108,10 +109,14 @@ def normalise(text: str) -> Mapped:
         m = m.rewrite(ENTITY, lambda e: (lambda x: x if len(x) == 1 else None)(html.unescape(e[0])))
     if not m.text.isascii():
         m = m.rewrite(ODD, _plain)
-    if DIGITS.search(m.text):
+    return m
+
+
+def undisguise(m: Mapped, digits: bool) -> Mapped:
+    """Spelled digits, and the at and dot of disguised addresses."""
+    if digits:
         m = m.rewrite(DIGITS, _digits)
-    low = m.text.lower()
-    if "at" in low and re.search(r"[\[({<] ?(?:at|ät|arroba)", low):
+    if BRACKETED.search(m.text):
         m = m.rewrite(BRACKET_AT, lambda e: "@").rewrite(BRACKET_DOT, lambda e: ".")
     if " dot " in m.text and " at " in m.text:
         # the disguised address shrinks in place: its words keep their own positions
@@ -150,6 +155,7 @@ ADDRESS = re.compile(
     r"[A-ZÄÖÜ][\wäöüß-]*(?:str\.|straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|steig) ?\d{1,4} ?[a-z]?" + _CITY + r"|"
     r"(?:[A-ZÄÖÜ][\wäöüß-]* )(?:Straße|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer) \d{1,4} ?[a-z]?" + _CITY + r")"
 )
+DIGITY = re.compile(r"\d")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -169,47 +175,57 @@ def slots(kind: str, key: str) -> list[int]:
     return [(h + i * (h >> 41 | 1)) % BITS for i in range(4)]
 
 
-class Lexicon:
-    """Names as a Bloom filter of fixed size, whatever the number of names."""
+DIGIT, LABELS = 16, 32
+# First words of the labels in ID_LABELLED, folded.
+LABEL_WORDS = set("ssn social nino ni national steuer steuerid steueridnr steueridentifikationsnummer steuernummer tax dni nie nif documento passport reisepass passeport pasaporte carte personalausweis id numero insee".split())
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.memo = np.packbits(bits), {}
 
-    def __getstate__(self):
-        return {"bits": self.bits, "memo": {}}
+class Kinds(dict):
+    """What a word may be part of: 1 given name, 2 surname, 4 ending of surnames, 8 ending of given
+    names, 16 digit word, 32 label of an identity number; 0 none."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
     def _has(self, kind: str, key: str) -> bool:
         return all(self.bits[s >> 3] >> (7 - (s & 7)) & 1 for s in slots(kind, key))
 
-    def kind(self, word: str) -> int:
-        """1 given name, 2 surname, 4 ending of surnames, 8 ending of given names; 0 none."""
-        k = self.memo.get(word)
-        if k is None:
-            key = fold(word)
-            if key in ROLES or len(key) < 2:
-                k = 0
-            else:
-                k = self._has(GIVEN, key) + 2 * self._has(SURNAME, key)
-                if word[0].isupper():
-                    k += 4 * (len(key) > TAIL_SIZE + 1 and self._has(TAIL, key[-TAIL_SIZE:]))
-                    k += 8 * (len(key) > GIVEN_TAIL_SIZE + 1 and self._has(GIVEN_TAIL, key[-GIVEN_TAIL_SIZE:]))
-            if len(self.memo) < 1_000_000:
-                self.memo[word] = k
+    def __missing__(self, word: str) -> int:
+        key, k = fold(word), 0
+        if key not in ROLES and len(key) > 1:
+            k = self._has(GIVEN, key) + 2 * self._has(SURNAME, key)
+            if word[0].isupper():
+                k += 4 * (len(key) > TAIL_SIZE + 1 and self._has(TAIL, key[-TAIL_SIZE:]))
+                k += 8 * (len(key) > GIVEN_TAIL_SIZE + 1 and self._has(GIVEN_TAIL, key[-GIVEN_TAIL_SIZE:]))
+        k += DIGIT * (word.lower() in DIGIT_WORDS) + LABELS * (key in LABEL_WORDS)
+        if len(self) < 1_000_000:
+            self[word] = k
         return k
 
 
+class Lexicon:
+    """Names as a Bloom filter of fixed size, whatever the number of names."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = np.packbits(bits)
+        self.kinds = Kinds(self.bits)
+
+    def __getstate__(self):
+        return {"bits": self.bits}
+
+    def __setstate__(self, state):
+        self.bits = state["bits"]
+        self.kinds = Kinds(self.bits)
+
+
 def _blank(gap: str) -> bool:
     return gap in (" ", "  ", " ", "\t")
 
 
 def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Spans of a surname with a given name or initial, in either order and any case."""
-    words = WORD.findall(text)
-    kind = lexicon.kind
-    if not any(kind(w) & 6 for w in words):
-        return []
     toks = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
-    kinds = [kind(w) for _, _, w in toks]
+    kinds = [lexicon.kinds[w] for _, _, w in toks]
     n = len(toks)
 
     def gap(i: int) -> str:
@@ -277,7 +293,10 @@ def find(text: str | None, lexicon: Lexicon, whole_name: bool = False) -> list[t
     """
     if not text:
         return []
-    m = normalise(text)
+    m = unveil(text)
+    kinds = list(map(lexicon.kinds.__getitem__, WORD.findall(m.text)))
+    seen = set(kinds)
+    m = undisguise(m, any(k & DIGIT for k in seen) and sum(k >= DIGIT and k & DIGIT > 0 for k in kinds) >= 5)
     t = m.text
     taken: list[tuple[str, int, int]] = []
 
@@ -291,12 +310,14 @@ def find(text: str | None, lexicon: Lexicon, whole_name: bool = False) -> list[t
 
     if "@" in t:
         take("email", (x.span() for x in EMAIL.finditer(t)))
-    if re.search(r"\d", t):
+    if DIGITY.search(t):
         take("address", (x.span() for x in ADDRESS.finditer(t)))
-        take("id_number", (x.span(1) for x in ID_LABELLED.finditer(t)))
+        if any(k & LABELS for k in seen):
+            take("id_number", (x.span(1) for x in ID_LABELLED.finditer(t)))
         take("id_number", (x.span() for x in ID_PLAIN.finditer(t)))
         take("phone", (x.span() for x in PHONE.finditer(t) if 8 <= sum(c.isdigit() for c in x[0]) <= 16))
-    take("name", names_in(t, lexicon))
+    if any(k & 6 for k in seen):
+        take("name", names_in(t, lexicon))
     if whole_name and not any(k == "name" for k, _, _ in taken) and name_pairs(t):
         m2 = PERSON.match(t)
         take("name", [(len(t) - len(t.lstrip()), m2.end())])
