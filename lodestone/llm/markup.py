@@ -196,10 +196,13 @@ def split_code(text: str) -> tuple[str, set[str], list[tuple[str, str]]]:
     def put(m: re.Match) -> str:
         kind = next(k for k in CODE_OF if m[k] is not None)
         found.add(CODE_OF[kind])
+        code = m[BLOCK_CODE.get(kind) or INLINE_CODE[kind]] or ("" if kind in BLOCK_CODE else m[0])
+        if CODE_OF[kind] == HTML:
+            code = html.unescape(re.sub(r"</?code\b[^>]*>", "", code, flags=re.I))
         if kind in BLOCK_CODE:
-            kept.append(("block", m[BLOCK_CODE[kind]] or ""))
+            kept.append(("block", code))
             return f"\n\n\x02{len(kept) - 1}\x03\n\n"
-        kept.append(("inline", m[INLINE_CODE[kind]] or m[0]))
+        kept.append(("inline", code))
         return f"\x02{len(kept) - 1}\x03"
 
     return CODE.sub(put, text), found, kept
@@ -305,7 +308,7 @@ def blocks_of(text: str) -> list[Block]:
                 continue
             if whole and codes[int(whole[1])][0] == "block":
                 flush()
-                out.append(Block("code", html.unescape(codes[int(whole[1])][1]).strip("\n")))
+                out.append(Block("code", codes[int(whole[1])][1].strip("\n")))
             elif m := re.match(r"(#{1,6})  ?(?=\S)|h([1-6])\. +", line) if not (wiki_lists and line.startswith("# ")) else None:
                 flush()
                 out.append(Block("heading", line[m.end() :].strip(" #"), len(m[1]) if m[1] else int(m[2])))
@@ -322,7 +325,7 @@ def blocks_of(text: str) -> list[Block]:
         b.dialect = next(iter(sorted(distinct_signs(b.text))), None)
         if b.kind not in ("code", "formula"):
             parts = re.split(r"(\$[^$\n]+\$|\\\(.+?\\\))", b.text)
-            b.text = "".join(p if i % 2 else inline(p) if p.strip() else p for i, p in enumerate(parts))
+            b.text = "".join(p if i % 2 else (" " if p[:1] == " " else "") + inline(p) + (" " if p[-1:] == " " and p.strip() else "") for i, p in enumerate(parts))
             b.text = re.sub(r"\x02(\d+)\x03", lambda m: codes[int(m[1])][1], b.text).strip()
     return [b for b in out if b.text.strip()]
 

@@ -55,7 +55,8 @@ class Mapped:
         return i if self.at is None else self.at[i]
 
     def rewrite(self, pattern: re.Pattern, to) -> Mapped:
-        """Replace matches; the new characters point to the start of what they replace."""
+        """Replace matches; new characters point to the start of what they replace, or to the places
+        in it that ``to`` gives along with them."""
         out: list[str] = []
         at: list[int] = []
         upto, old = 0, self.at or range(len(self.text))
@@ -63,9 +64,10 @@ class Mapped:
             new = to(m)
             if new is None:
                 continue
+            new, places = new if isinstance(new, tuple) else (new, [0] * len(new))
             out += [self.text[upto : m.start()], new]
             at.extend(old[upto : m.start()])
-            at.extend([old[m.start()]] * len(new))
+            at.extend(old[m.start() + p] for p in places)
             upto = m.end()
         if not out:
             return self
@@ -95,8 +97,11 @@ def _plain(m: re.Match) -> str | None:
     return new if new != ch and len(new) == 1 else None
 
 
-def _digits(m: re.Match) -> str:
-    return "".join(DIGIT_WORDS[w.lower()] for w in re.findall(r"[^\W\d_]+", m[0])) + (" " if m[0][-1:] in " ,-" else "")
+def _digits(m: re.Match) -> tuple[str, list[int]]:
+    """One digit a word, each from where its word begins."""
+    found = [(DIGIT_WORDS[w[0].lower()], w.start()) for w in re.finditer(r"[^\W\d_]+", m[0])]
+    blank = [(" ", len(m[0]) - 1)] if m[0][-1] in " ,.-" else []
+    return "".join(d for d, _ in found + blank), [at for _, at in found + blank]
 
 
 def unveil(text: str) -> Mapped:
@@ -134,6 +139,7 @@ PHONE = re.compile(
     r"|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
     r"|\(?0\d{1,4}\)?[ /-]\d{3,8}(?:[ -]\d{2,5}){0,4})(?![\w]|[-.:]\d)"
 )
+SPELLED = re.compile(r"(?<!\w)\d{7,14}(?!\w)")
 _ID = (
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{3}[- ]?\d{2}[- ]?\d{4}|\d{2} ?\d{3} ?\d{3} ?\d{3}|\d{8} ?-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"
     r"|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]{1,2} ?\d{6,8}|\d{9,12}"
@@ -296,7 +302,8 @@ def find(text: str | None, lexicon: Lexicon, whole_name: bool = False) -> list[t
     m = unveil(text)
     kinds = list(map(lexicon.kinds.__getitem__, WORD.findall(m.text)))
     seen = set(kinds)
-    m = undisguise(m, any(k & DIGIT for k in seen) and sum(k >= DIGIT and k & DIGIT > 0 for k in kinds) >= 5)
+    spelled = any(k & DIGIT for k in seen) and sum(1 for k in kinds if k & DIGIT) >= 5
+    m = undisguise(m, spelled)
     t = m.text
     taken: list[tuple[str, int, int]] = []
 
@@ -316,6 +323,8 @@ def find(text: str | None, lexicon: Lexicon, whole_name: bool = False) -> list[t
             take("id_number", (x.span(1) for x in ID_LABELLED.finditer(t)))
         take("id_number", (x.span() for x in ID_PLAIN.finditer(t)))
         take("phone", (x.span() for x in PHONE.finditer(t) if 8 <= sum(c.isdigit() for c in x[0]) <= 16))
+        if spelled:
+            take("phone", (x.span() for x in SPELLED.finditer(t) if m.source(x.end() - 1) - m.source(x.start()) >= 2 * (x.end() - x.start())))
     if any(k & 6 for k in seen):
         take("name", names_in(t, lexicon))
     if whole_name and not any(k == "name" for k, _, _ in taken) and name_pairs(t):
