@@ -82,6 +82,8 @@ WIKI_INLINE = re.compile(
 SHARED_LIST = re.compile(r"^[ \t]*[*-][ \t]+\S", re.M)
 SHARED_WORD = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])|(?<![\w_\\/.$])_(?=[^\s_])[^_\n]*(?<=[^\s_])_(?![\w_])")
 URL = re.compile(r"https?://[^\s<>\"|\])}]+")
+PARAGRAPH = re.compile(r"\n[ \t]*\n")
+CODE_MARK = re.compile("\x02(\\d+)\x03")
 IS_ADF = re.compile(r"\s*\{(?=.{0,200}?\"type\"\s*:\s*\"doc\")", re.S)
 
 
@@ -153,11 +155,8 @@ def distinct_signs(text: str) -> set[str]:
             found.add(MARKDOWN)
     if ("**" in bare or "__" in bare or "~~" in bare) and MD_STRONG.search(bare):
         found.add(MARKDOWN)
-    lists = WIKI_LIST.search(bare) if "#" in bare else None
-    if lists:
+    if "#" in bare and WIKI_LIST.search(bare):
         found.add(WIKI)
-    elif "#" in bare and MD_HEAD.search(bare):
-        found.add(MARKDOWN)
     numbers = [int(n) for n in MD_NUMBER.findall(bare)]
     if numbers and (numbers[0] == 1 or any(b == a + 1 for a, b in zip(numbers, numbers[1:]))):
         found.add(MARKDOWN)
@@ -179,19 +178,21 @@ def strip_foreign(text: str) -> str:
 
 
 def shared_signs(text: str) -> bool:
-    """Whether the text holds emphasis or a list that Markdown and wiki write alike."""
+    """Whether the text holds what Markdown and wiki write alike: emphasis, a list, one ``#`` line."""
     bare = strip_foreign(text)
+    if "#" in bare and MD_HEAD.search(bare):
+        return True
     if ("*" in bare or "-" in bare) and SHARED_LIST.search(bare):
         return True
     return ("*" in bare or "_" in bare) and bool(SHARED_WORD.search(URL.sub(" ", bare)))
 
 
-def split_code(text: str) -> tuple[str, set[str], list[tuple[str, str]]]:
-    """The text with code replaced by marks, the languages of the code marks, and the code."""
+def split_code(text: str) -> tuple[str, set[str], list[tuple[str, str, str]]]:
+    """The text with code replaced by marks, the languages of the code marks, and (shape, code, language)."""
     if not ("`" in text or "~~~" in text or "{" in text or "<" in text or "\\" in text):
         return text, set(), []
     found: set[str] = set()
-    kept: list[tuple[str, str]] = []
+    kept: list[tuple[str, str, str]] = []
 
     def put(m: re.Match) -> str:
         kind = next(k for k in CODE_OF if m[k] is not None)
@@ -200,9 +201,9 @@ def split_code(text: str) -> tuple[str, set[str], list[tuple[str, str]]]:
         if CODE_OF[kind] == HTML:
             code = html.unescape(re.sub(r"</?code\b[^>]*>", "", code, flags=re.I))
         if kind in BLOCK_CODE:
-            kept.append(("block", code))
+            kept.append(("block", code, CODE_OF[kind]))
             return f"\n\n\x02{len(kept) - 1}\x03\n\n"
-        kept.append(("inline", code))
+        kept.append(("inline", code, CODE_OF[kind]))
         return f"\x02{len(kept) - 1}\x03"
 
     return CODE.sub(put, text), found, kept
@@ -226,10 +227,19 @@ def languages(text: str | None) -> set[str]:
         return found
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    bare, found, _ = split_code(text)
-    found |= distinct_signs(bare)
-    if not (found & {MARKDOWN, WIKI}) and shared_signs(bare):
-        found.add(MARKDOWN)
+    bare, found, codes = split_code(text)
+    blocks = [Block("text", p) for p in PARAGRAPH.split(bare) if p.strip()]
+    undecided = []
+    for b in blocks:
+        signs = distinct_signs(b.text)
+        found |= signs
+        signs |= {codes[int(k)][2] for k in CODE_MARK.findall(b.text)}
+        b.dialect = MARKDOWN if MARKDOWN in signs else WIKI if WIKI in signs else None
+        if b.dialect is None and shared_signs(b.text):
+            undecided.append(b)
+    if undecided:
+        inherit(blocks, "dialect", MARKDOWN)
+        found |= {b.dialect for b in undecided}
     return found
 
 
@@ -293,7 +303,7 @@ def blocks_of(text: str) -> list[Block]:
         bare = html_lines(COMMENT.sub("", bare))
     bare = LATEX_HEAD.sub(lambda m: "\n\n" + "#" * (len(m[1]) // 3 + 1) + "  " + m[2] + "\n\n", bare)
     out = []
-    for para in re.split(r"\n[ \t]*\n", bare):
+    for para in PARAGRAPH.split(bare):
         running: list[str] = []
 
         def flush() -> None:
@@ -322,7 +332,6 @@ def blocks_of(text: str) -> list[Block]:
                 running.append(line.lstrip("> ") if line.startswith(">") else line)
         flush()
     for b in out:
-        b.dialect = next(iter(sorted(distinct_signs(b.text))), None)
         if b.kind not in ("code", "formula"):
             parts = re.split(r"(\$[^$\n]+\$|\\\(.+?\\\))", b.text)
             b.text = "".join(p if i % 2 else (" " if p[:1] == " " else "") + inline(p) + (" " if p[-1:] == " " and p.strip() else "") for i, p in enumerate(parts))
@@ -349,20 +358,21 @@ def first_pass(b: Block) -> bool | None:
     return None
 
 
+def inherit(blocks: list[Block], field: str, default) -> None:
+    """Undecided blocks take the label of the nearest decided one, the earlier on a tie."""
+    labels = [getattr(b, field) for b in blocks]
+    decided = [i for i, x in enumerate(labels) if x is not None]
+    k = 0
+    for i, b in enumerate(blocks):
+        while k + 1 < len(decided) and abs(decided[k + 1] - i) < abs(decided[k] - i):
+            k += 1
+        if labels[i] is None:
+            setattr(b, field, labels[decided[k]] if decided else default)
+
+
 def second_pass(blocks: list[Block]) -> None:
-    """Undecided blocks and dialects inherit from the nearest decided neighbour, the earlier on a tie."""
-    for field in ("keep", "dialect"):
-        decided = [i for i, b in enumerate(blocks) if getattr(b, field) is not None]
-        if not decided:
-            for b in blocks:
-                setattr(b, field, True if field == "keep" else None)
-            continue
-        k = 0
-        for i, b in enumerate(blocks):
-            while k + 1 < len(decided) and abs(decided[k + 1] - i) < abs(decided[k] - i):
-                k += 1
-            if getattr(b, field) is None:
-                setattr(b, field, getattr(blocks[decided[k]], field))
+    """Whether undecided blocks stay follows from their nearest decided neighbour; alone they do."""
+    inherit(blocks, "keep", True)
 
 
 def clean(text: str | None) -> str | None:

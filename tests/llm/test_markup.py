@@ -23,7 +23,7 @@ CASES = [
     ("_word_ here", {"markdown"}), ("* one\n* two", {"markdown"}), ("* one\n* two\n\nh2. Head", {"wiki"}), ("*strong* and {{x}}", {"wiki"}), ("_em_ and **strong**", {"markdown"}),
     ("<p>text</p>", {"html"}), ("a&nbsp;b", {"html"}), ("x <!-- note --> y", {"html"}), ("<pre><code>**x** &lt;</code></pre>", {"html"}),
     ("\\textbf{x} text", {"latex"}), ("here $\\alpha + \\beta_{2}$ is", {"latex"}), ("\\[O(n \\log n)\\]", {"latex"}), ("$$a^2$$", {"latex"}), ("\\begin{verbatim}<b>**x**</b>\\end{verbatim}", {"latex"}), ("\\[WIP\\] text", set()),
-    ("**b** <b>x</b> \\emph{y}", {"markdown", "html", "latex"}), ("h2. A\r\n\r\n# one\r\n# two", {"wiki"}),
+    ("# one\n\nh2. Head", {"wiki"}), ("h2. Head\n\n_a_\n\ntext\n\n**b**", {"wiki", "markdown"}), ("**b** <b>x</b> \\emph{y}", {"markdown", "html", "latex"}), ("h2. A\r\n\r\n# one\r\n# two", {"wiki"}),
     (json.dumps(TREE), {"adf"}), (json.dumps(WITH), {"adf", "latex"}), (json.dumps(WITH)[:-5], {"adf", "latex"}), (json.dumps(TREE)[:120], {"adf"}),
 ]
 
