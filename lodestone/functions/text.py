@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,14 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column, least: int = 3) -> Column:
     """Distinct lower-case runs of letters and digits of at least ``least`` bytes."""
-    parts = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= least)
+    parts = F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")), lambda w: F.octet_length(w) >= least)
     return F.array_distinct(F.transform(parts, ascii_lower))
 
 
 def terms(text: Column) -> Column:
     """Distinct terms: camel case split, plural s cut off, at least three bytes long."""
     split = F.regexp_replace(text, r"(?<=[\p{Ll}0-9])(?=\p{Lu})", " ")
-    raw = F.filter(F.split(split, r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= 3)
+    raw = F.filter(F.array_distinct(F.split(split, r"[^\p{L}\p{N}]+")), lambda w: F.octet_length(w) >= 3)
 
     def stem(w: Column) -> Column:
         cut = F.left(w, F.length(w) - 1)
@@ -89,7 +91,9 @@ def lexical_scores(docs: DataFrame, task: list[str], key: str, weighted: dict[st
     """
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     wanted = F.array(*map(F.lit, task))
-    cols = docs.select(key, *[terms(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in weighted])
+    # a term is the beginning of its word, so only texts that contain one are cut into terms
+    holds = lambda c: reduce(lambda a, b: a | b, [F.contains(ascii_lower(F.col(c)), F.lit(t)) for t in task])
+    cols = docs.select(key, *[terms(F.when(holds(c), F.col(c)).otherwise("")).alias(f"_{c}") for c in weighted])
     hit = cols.select(key, *[f"_{c}" for c in weighted], F.explode(wanted).alias("term"))
     weight = F.lit(None).cast("int")
     for c, w in reversed(list(weighted.items())):

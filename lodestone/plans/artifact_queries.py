@@ -9,7 +9,7 @@ from lodestone.functions import text
 from lodestone.operators import artifacts, graph as g, scoring
 from lodestone.operators.increments import instant
 from lodestone.plans.text_queries import reference_links
-from lodestone.session import read
+from lodestone.session import materialise, read
 from lodestone.sources.graph import load
 
 
@@ -25,7 +25,7 @@ def issue_links(spark: SparkSession, d: str) -> DataFrame:
 
 def issue_depths(spark: SparkSession, d: str) -> DataFrame:
     """Issues that documents name, and those at most two links away."""
-    direct = reference_links(spark, d).select(F.col("issue_key").alias("key"))
+    direct = materialise(reference_links(spark, d).select(F.col("issue_key").alias("key")), "direct")
     return artifacts.related(direct, artifacts.issue_links(read(spark, d, "jira_issues")), 2)
 
 
@@ -47,8 +47,10 @@ def _artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def scope_plan(spark: SparkSession, d: str) -> DataFrame:
     """Which artifacts stay in scope and why, counted."""
-    links = reference_links(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("issue_key").alias("issue"))
-    plan = artifacts.scope_plan(_artifacts(spark, d), links, issue_depths(spark, d))
+    named = materialise(reference_links(spark, d), "named")
+    depths = artifacts.related(named.select(F.col("issue_key").alias("key")), artifacts.issue_links(read(spark, d, "jira_issues")), 2)
+    links = named.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("issue_key").alias("issue"))
+    plan = artifacts.scope_plan(_artifacts(spark, d), links, depths)
     return plan.groupBy("provider", "kind", "disposition", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
