@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words without weight in requirement texts.
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "must", "shall", "should", "are")
@@ -98,7 +100,7 @@ def lexical_scores(docs: DataFrame, task: list[str], key: str, weighted: dict[st
     weight = F.lit(None).cast("int")
     for c, w in reversed(list(weighted.items())):
         weight = F.when(F.array_contains(f"_{c}", F.col("term")), w).otherwise(weight)
-    hits = hit.select(key, "term", weight.alias("weight")).filter("weight is not null")
+    hits = materialise(hit.select(key, "term", weight.alias("weight")).filter("weight is not null"), "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(log2_floor(F.col("total") + 1) - log2_floor(F.col("df")), F.lit(0)) + 1
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(total))  # one row per task term; one row

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType
 
 # Tree nodes of the tracker's documents that end a line.
 BREAKS = {"paragraph", "heading", "codeBlock", "listItem", "blockquote", "tableRow", "rule", "mediaGroup"}
@@ -42,7 +43,7 @@ def flatten_tree(raw: str | None) -> str | None:
     return "\n".join(line.rstrip() for line in text.split("\n") if line.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tree_text(column: pd.Series) -> pd.Series:
     return column.map(flatten_tree, na_action="ignore")
 
