@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import analyze
+from lodestone.functions import analyze, scan
 from lodestone.session import read, ship
 from lodestone.sources.tracker import tree_text
 
@@ -39,6 +39,11 @@ def duplicate_bodies(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("shape").agg(F.min("canonical").alias("representative"), F.count(F.lit(1)).alias("members"), F.countDistinct("file_id").alias("files"))
 
 
+def decision_points(spark: SparkSession, d: str) -> DataFrame:
+    """Branches, guards, arms, defaults and handled errors of the Python files."""
+    return scan.decision_points(read(spark, d, "source_files").dropDuplicates(["file_id"]))
+
+
 def tree_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Length of the plain text of every issue description."""
     ship(spark)
@@ -46,5 +51,5 @@ def tree_lengths(spark: SparkSession, d: str) -> DataFrame:
     return issues.select("issue_id", F.length(tree_text("description")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, code_calls, code_accesses, code_endpoints, duplicate_bodies, tree_lengths)}
+QUERIES = {f.__name__: f for f in (code_symbols, code_calls, code_accesses, code_endpoints, duplicate_bodies, decision_points, tree_lengths)}
 ORACLE: dict[str, str] = {}
