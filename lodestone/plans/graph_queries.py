@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.model import INTENTS, LIVE_STATUS, SEMANTIC, state
 from lodestone.operators import graph as g
 from lodestone.session import read
+from lodestone.sources import export
 from lodestone.sources.graph import duplicate_keys, load
 
 
@@ -238,13 +239,27 @@ def catalogs(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d).nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("identifier").alias("first"), F.max("identifier").alias("last"))
 
 
+def diagrams(spark: SparkSession, d: str) -> DataFrame:
+    """A diagram of the first forty claims around each node."""
+    return export.mermaid(load(spark, d))
+
+
+def public_documents(spark: SparkSession, d: str) -> DataFrame:
+    return export.public_documents(load(spark, d)).select("identifier", "kind", "name", "status")
+
+
+def offered_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """The endpoints of the manifest: what each repository offers, by its newest contract."""
+    return export.offered_endpoints(read(spark, d, "endpoints")).select("source_repo", "method", "path", "handler", "framework")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         current_nodes, current_edges, edge_evidence, impact, impact_counts, impact_uncertainties, resolve_tiers, related_tests, min_depth, callers_of,
         reachable_entries, explain_claims, explain_relationship, edge_endpoints_outside, status_counts, unmapped_intents, active_intents, stale_claims,
         stale_marks, structural_mappings, coverage_share, unique_symbol_names, symbol_collisions, same_file_renames, prefix_nesting, handlers, access_sets,
-        indexed_files, directory_tree, catalogs,
+        indexed_files, directory_tree, catalogs, diagrams, public_documents, offered_endpoints,
     )
 }
 
@@ -359,9 +374,14 @@ _BODY = {
     "indexed_files": "SELECT count(DISTINCT file_path) AS files, greatest(20, round(count(DISTINCT file_path) * 0.1))::BIGINT AS threshold FROM n WHERE kind = 'code_symbol'",
     "directory_tree": """, d AS (SELECT stable_key, file_path, unnest(list_transform(range(1, len(string_split(file_path, '/'))), lambda i: array_to_string(string_split(file_path, '/')[1:i], '/'))) AS directory
  FROM n WHERE file_path IS NOT NULL) SELECT directory, count(DISTINCT file_path) AS files, count(*) AS symbols FROM d GROUP BY directory""",
+    "diagrams": """, r AS (SELECT *, row_number() OVER (PARTITION BY here ORDER BY kind, there, fingerprint) AS k FROM around QUALIFY k <= 40)
+ SELECT here AS stable_key, 'graph LR' || chr(10) || string_agg('  a["' || replace(here, '"', '#quot;') || '"] -->|' || kind || '| n' || k || '["' || replace(there, '"', '#quot;') || '"]', chr(10) ORDER BY k) AS diagram FROM r GROUP BY here""",
+    "public_documents": "SELECT identifier, kind, name, status FROM n WHERE kind IN ('feature','requirement','invariant','decision') AND visibility = 'public'",
     "catalogs": "SELECT kind, count(*) AS n, min(identifier) AS first, max(identifier) AS last FROM n GROUP BY kind",
 }
 ORACLE = {name: f"WITH {GRAPH} {body}" for name, body in _BODY.items()} | {
+    "offered_endpoints": """SELECT source_repo, method, path, handler, framework FROM endpoints WHERE withdrawn_at IS NULL
+ QUALIFY row_number() OVER (PARTITION BY source_repo, method, path ORDER BY published_at DESC, handler DESC) = 1""",
     "edge_evidence": """SELECT edge_id, coalesce(len(any_value(evidence)), 0) AS sources, coalesce(list_min(list_transform(any_value(evidence), lambda x: x.strength)), 0.8) AS confidence
  FROM edges WHERE valid_to IS NULL GROUP BY edge_id"""
 }

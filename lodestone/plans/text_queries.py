@@ -222,6 +222,9 @@ ORACLE = {
     "path_templates": r"""SELECT call_id, CASE WHEN url ~ '^[A-Za-z][A-Za-z0-9+.-]*://.*' AND p = '' THEN '/' WHEN starts_with(p, '/') THEN p END AS template FROM (SELECT DISTINCT call_id, url,
  regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/\{[^/]*\}', '/{param}', 'g') AS p FROM external_calls)""",
     "token_estimates": "SELECT source, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY source",
+    "derived_titles": r"""WITH l AS (SELECT doc_id, trim(string_split(trim(text, ' '), chr(10))[1], ' ') AS line FROM documents WHERE text IS NOT NULL),
+ t AS (SELECT doc_id, CASE WHEN regexp_extract(line, '^(.*?[.!?])(?:\s|$)', 1) <> '' THEN regexp_extract(line, '^(.*?[.!?])(?:\s|$)', 1) ELSE line END AS title FROM l)
+ SELECT doc_id, CASE WHEN length(title) > 80 THEN title[:80] || '…' ELSE title END AS title FROM t""",
     "comment_blocks": """WITH r AS (SELECT DISTINCT file_id, start_line, end_line FROM code_docs WHERE kind = 'comment'),
  m AS (SELECT *, max(end_line) OVER (PARTITION BY file_id ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_line > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY start_line, end_line) AS island FROM m)
