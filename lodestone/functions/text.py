@@ -19,23 +19,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _runs(text: Column, least: int) -> Column:
+    """Distinct runs of letters and digits of an already lowered text."""
+    return F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")), lambda w: F.octet_length(w) >= least)
+
+
 def words(text: Column, least: int = 3) -> Column:
     """Distinct lower-case runs of letters and digits of at least ``least`` bytes."""
-    parts = F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")), lambda w: F.octet_length(w) >= least)
-    return F.array_distinct(F.transform(parts, ascii_lower))
+    return _runs(ascii_lower(text), least)
 
 
 def terms(text: Column) -> Column:
     """Distinct terms: camel case split, plural s cut off, at least three bytes long."""
     split = F.regexp_replace(text, r"(?<=[\p{Ll}0-9])(?=\p{Lu})", " ")
-    raw = F.filter(F.array_distinct(F.split(split, r"[^\p{L}\p{N}]+")), lambda w: F.octet_length(w) >= 3)
 
     def stem(w: Column) -> Column:
-        cut = F.left(w, F.length(w) - 1)
-        plural = w.endswith("s") & ~w.endswith("ss") & (F.octet_length(cut) >= 3)
-        return F.when(w == "dedupe", "dedup").when(plural, cut).otherwise(w)
+        plural = w.endswith("s") & ~w.endswith("ss") & (F.octet_length(w) > 3)
+        return F.when(w == "dedupe", "dedup").when(plural, F.left(w, F.length(w) - 1)).otherwise(w)
 
-    return F.array_distinct(F.transform(raw, lambda w: stem(ascii_lower(w))))
+    return F.array_distinct(F.transform(_runs(ascii_lower(split), 3), stem))
 
 
 def requirement_terms(text: Column) -> Column:
