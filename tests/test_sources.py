@@ -81,7 +81,7 @@ def test_it(): helper(1)
 
 
 def test_python_symbols(spark):
-    df = spark.createDataFrame([(1, "src/shop/repo.py", SOURCE), (2, "bad.py", "def ("), (3, "x.go", "func A() {}"), (4, "n.py", None)], "file_id long, path string, text string")
+    df = spark.createDataFrame([(1, "src/shop/repo.py", SOURCE), (2, "bad.py", "def ("), (3, "x.txt", "func A() {}"), (4, "n.py", None)], "file_id long, path string, text string")
     got = {r["canonical"]: r for r in analyze.symbols(df).collect()}
     assert {k: r["kind"] for k, r in got.items()} == {"shop.repo.Repo": "class", "shop.repo.Repo.save": "method", "shop.repo.create": "function", "shop.repo.helper": "function", "shop.repo.test_it": "test"}
     create = got["shop.repo.create"]
