@@ -1,9 +1,11 @@
 """Processing only new or changed records.
 
-A table is read as a change log: every row has a key, a log partition (a hash of the key) and an
-offset that grows within the partition. A run
-  1. replays the plan of an earlier run that never committed, or else plans the offset range of
-     each partition and writes that plan ahead of any work;
+A table's rows come in any order, and none of its columns says when a row came. So the consumer
+keeps a change log of its own: rows not there yet, told by key and id, are appended as one numbered
+segment. Every row of the log has a key, a log partition (a hash of the key) and an offset that
+grows within the partition, the number of its segment. A run
+  1. replays the plan of an earlier run that never committed, or else appends what arrived, plans
+     the offset range of each partition and writes that plan ahead of any work;
   2. reads exactly the planned ranges;
   3. hands the rows to the sink, which overwrites the folder of that batch and, when read,
      keeps one row per key and offset;
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.session import FileStore
 
@@ -40,10 +43,14 @@ class BatchPlan:
 
 
 class ChangeCapture:
-    """Offsets, write-ahead plans and commits of one consumer of a change log."""
+    """Change log, write-ahead plans and commits of one consumer of a table.
+
+    Plans under the root's own ``plans`` are of a former layout, ranges of ids; a consumer that
+    left only those begins again.
+    """
 
     def __init__(self, spark: SparkSession, root: str, partitions: int = PARTITIONS):
-        self.spark, self.root, self.partitions = spark, root.rstrip("/"), partitions
+        self.spark, self.root, self.partitions = spark, f"{root.rstrip('/')}/arrivals", partitions
         self.store = FileStore(spark, f"{self.root}/plans")
 
     def _numbered(self, suffix: str) -> list[int]:
@@ -60,6 +67,21 @@ class ChangeCapture:
         d = json.loads(self.store.read(f"{batch:08d}.plan"))
         return BatchPlan(d["batch"], tuple(d["after"]), tuple(d["upto"]))
 
+    def _segments(self, schema: StructType, count: int) -> DataFrame:
+        """The first ``count`` segments of the log."""
+        whole = StructType([*schema.fields, StructField("segment", LongType())])
+        if not count:
+            return self.spark.createDataFrame([], whole)
+        paths = [f"{self.root}/log/segment={n}" for n in range(count)]
+        return self.spark.read.schema(whole).option("basePath", f"{self.root}/log").parquet(*paths)
+
+    def _append(self, table: DataFrame, key: str, offset: str, segment: int) -> None:
+        """Write the rows that no earlier segment holds; a segment without a plan is written anew."""
+        new = table.filter(F.col(key).isNotNull() & F.col(offset).isNotNull())
+        if segment:
+            new = new.join(self._segments(table.schema, segment).select(key, offset), [key, offset], "left_anti")
+        new.select(table.columns).write.mode("overwrite").parquet(f"{self.root}/log/segment={segment}")
+
     def plan(self, log: DataFrame, key: str, offset: str) -> BatchPlan:
         """The pending plan if one was never committed, else a new one, written before it is used."""
         plans, done = self._numbered(".plan"), set(self._numbered(".done"))
@@ -67,25 +89,28 @@ class ChangeCapture:
             return self._load(plans[-1])
         last = self.committed()
         after = last.upto if last else (-1,) * self.partitions
-        ends = dict(
-            log.filter(F.col(key).isNotNull() & F.col(offset).isNotNull())
-            .groupBy(self.partition(F.col(key)).alias("p"))
-            .agg(F.max(offset).alias("upto"))
-            .collect()
-        )
+        batch = last.batch + 1 if last else 0
+        self._append(log, key, offset, batch)
+        arrived = self._segments(log.schema, batch + 1).filter(F.col("segment") == batch)
+        ends = dict(arrived.groupBy(self.partition(F.col(key)).alias("p")).agg(F.max("segment")).collect())
         upto = tuple(max(after[p], ends.get(p, -1)) for p in range(self.partitions))
-        made = BatchPlan(last.batch + 1 if last else 0, after, upto)
+        made = BatchPlan(batch, after, upto)
         if not made.empty:
             self.store.write(f"{made.batch:08d}.plan", json.dumps({"batch": made.batch, "after": after, "upto": upto}))
         return made
 
-    def rows(self, log: DataFrame, key: str, offset: str, plan: BatchPlan) -> DataFrame:
-        """The log rows inside the planned ranges; null keys and offsets belong to no range."""
+    def _within(self, log: DataFrame, key: str, plan: BatchPlan, test: Callable[[Column, Column], Column]) -> DataFrame:
         at = self.partition(F.col(key)) + 1
         bound = lambda xs: F.element_at(F.array(*[F.lit(x).cast("long") for x in xs]), at)
-        return log.filter(
-            F.col(key).isNotNull() & (F.col(offset) > bound(plan.after)) & (F.col(offset) <= bound(plan.upto))
-        )
+        return self._segments(log.schema, plan.batch + 1).filter(test(bound(plan.after), bound(plan.upto))).select(log.columns)
+
+    def rows(self, log: DataFrame, key: str, plan: BatchPlan) -> DataFrame:
+        """The log rows inside the planned ranges; null keys and ids are in no range."""
+        return self._within(log, key, plan, lambda after, upto: (F.col("segment") > after) & (F.col("segment") <= upto))
+
+    def before(self, log: DataFrame, key: str, plan: BatchPlan) -> DataFrame:
+        """All log rows that earlier runs read."""
+        return self._within(log, key, plan, lambda after, upto: F.col("segment") <= after)
 
     def commit(self, plan: BatchPlan) -> None:
         if f"{plan.batch:08d}.done" not in self.store.names():
@@ -109,9 +134,6 @@ class KeyOffsetSink:
     def read(self, batch: int) -> DataFrame:
         return self._read([f"{self.root}/batch={batch}"]).dropDuplicates([self.key, self.offset])
 
-    def before(self, batch: int) -> DataFrame:
-        return self._read([f"{self.root}/batch={b}" for b in range(batch)]).dropDuplicates([self.key, self.offset])
-
 
 def run_batch(
     capture: ChangeCapture,
@@ -123,14 +145,13 @@ def run_batch(
 ) -> DataFrame:
     """One run: plan, process, write, commit. Returns what this run put into the sink.
 
-    ``process(rows, earlier)`` gets the planned rows and what earlier batches left in the sink.
+    ``process(rows, earlier)`` gets the planned rows and all rows that earlier runs read.
     With nothing new the result is empty.
     """
     plan = capture.plan(log, key, offset)
     if plan.empty:
         return sink._read([])
-    rows = capture.rows(log, key, offset, plan)
-    sink.write(plan.batch, process(rows, sink.before(plan.batch)))
+    sink.write(plan.batch, process(capture.rows(log, key, plan), capture.before(log, key, plan)))
     capture.commit(plan)
     return sink.read(plan.batch)
 
@@ -189,8 +210,8 @@ def pending_comments(
     """Comments the next run has to take up: new ones, and ones whose body changed.
 
     Returns comment_id and the fingerprint of its current version, once per comment. Later calls
-    with the same ``capture`` see only rows fetched since; an older version that arrives late
-    does not displace a newer one an earlier batch already took up.
+    with the same ``capture`` see only rows that came since, whatever their fetch ids; an older
+    version that arrives late does not displace a newer one an earlier run already read.
     """
 
     def process(rows: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -68,6 +68,29 @@ def test_only_new_rows_are_read(spark, rows):
     assert rows(inc.pending_comments(capture, sink, more, none, runs)) == [("a", sha("z"))]
 
 
+def test_smaller_fetch_ids_that_come_later_are_read(spark, rows):
+    capture, sink = parts(spark, "t5")
+    none, runs = ledger(spark), spark.createDataFrame([], RUNS)
+    first = comments(spark, *((n, f"k{n}", "K-1", "x", None, "2024-01-01T00:00:00Z", None) for n in range(100, 140)))
+    assert inc.pending_comments(capture, sink, first, none, runs).count() == 40
+    late = [(n, f"k{n + 100}", "K-1", f"y{n}", None, "2024-01-02T00:00:00Z", None) for n in range(40)]
+    more = first.union(comments(spark, *late))
+    assert rows(inc.pending_comments(capture, sink, more, none, runs)) == sorted((k, sha(body)) for _, k, _, body, *_ in late)
+    assert inc.pending_comments(capture, sink, more, none, runs).count() == 0
+
+
+def test_late_version_of_an_analysed_comment_is_not_taken_up(spark, rows):
+    capture, sink = parts(spark, "t6")
+    led, runs = ledger(spark, ("K-1-comment-a", sha("now"), 1)), spark.createDataFrame([(1, "succeeded")], RUNS)
+    first = comments(spark, (5, "a", "K-1", "now", None, "2024-01-01T00:00:00Z", "2024-01-05T00:00:00Z"))
+    assert inc.pending_comments(capture, sink, first, led, runs).count() == 0
+    late = [(n, "a", "K-1", f"older {n}", None, "2024-01-01T00:00:00Z", "2024-01-04T00:00:00Z") for n in (4, 6)]
+    more = first.union(comments(spark, *late))
+    assert inc.pending_comments(capture, sink, more, led, runs).count() == 0
+    newer = more.union(comments(spark, (1, "a", "K-1", "newest", None, "2024-01-01T00:00:00Z", "2024-01-06T00:00:00Z")))
+    assert rows(inc.pending_comments(capture, sink, newer, led, runs)) == [("a", sha("newest"))]
+
+
 def test_failed_run_is_replayed_without_gap_or_repeat(spark, rows):
     capture, sink = parts(spark, "t4")
     log = spark.range(100).select(F.col("id").cast("string").alias("comment_id"), F.col("id").alias("fetch_id"), F.lit(None).cast("timestamp").alias("at"), F.lit("e").alias("external_id"), F.lit("f").alias("input_fingerprint"))
