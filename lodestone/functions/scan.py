@@ -1,4 +1,4 @@
-"""Analysers without a grammar: Rust and Go symbols, and decision points of Python code."""
+"""Analysers without a grammar: Rust and Go symbols, and decision points of Python, Rust and Go code."""
 
 from __future__ import annotations
 
@@ -69,27 +69,31 @@ def _row(text: str, bare: str, name: str, canonical: str, kind: str, start: int,
     }
 
 
-def rust_symbols(path: str, text: str) -> list[dict]:
-    """Structs, enums, traits, functions and methods; a method's path names its type."""
-    bare = masked(text, "rs")
+def rust_items(path: str, bare: str) -> Iterator[tuple[re.Match, str, bool, int]]:
+    """Items with the path of what holds them, whether that is a type or trait, and their end."""
     module = re.sub(r"^src/|\.rs$|/mod$", "", re.sub(r"\.rs$", "", path)).replace("/", "::")
     scopes: list[tuple[int, str, str]] = []
-    out = []
     for m in RUST_ITEM.finditer(bare):
         word, name, target = m[1], m[2], m[3]
         end = body_end(bare, m.end())
         while scopes and scopes[-1][0] <= m.start():
             scopes.pop()
-        prefix = "::".join([module, *(s for _, s, _ in scopes)])
-        if word in ("impl", "mod"):
+        yield m, "::".join([module, *(s for _, s, _ in scopes)]), bool(scopes) and scopes[-1][2] in ("impl", "trait"), end
+        if word != "struct":
             scopes.append((end, target or name, word))
+
+
+def rust_symbols(path: str, text: str) -> list[dict]:
+    """Structs, enums, traits, functions and methods; a method's path names its type."""
+    bare = masked(text, "rs")
+    out = []
+    for m, prefix, inside, end in rust_items(path, bare):
+        word, name = m[1], m[2]
+        if word in ("impl", "mod"):
             continue
-        inside = bool(scopes) and scopes[-1][2] in ("impl", "trait")
         before = bare[max(0, bare.rfind("}", 0, m.start())) : m.start()]
         kind = "class" if word != "fn" else "test" if re.search(r"#\[(?:\w+::)?test\]", text[max(0, m.start() - 120) : m.start()]) and "fn" not in before else "method" if inside else "function"
         out.append(_row(text, bare, name, f"{prefix}::{name}", kind, m.start(), end))
-        if word != "struct":
-            scopes.append((end, name, word))
     return out
 
 
@@ -112,8 +116,11 @@ POINT_SQL = "canonical string, kind string, line int, condition string, fingerpr
 POINT = pa.schema([("canonical", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("condition", pa.string()), ("fingerprint", pa.string()), ("ordinal", pa.int32()), ("branches", pa.int32()), ("controlled", pa.list_(pa.string())), ("routine", pa.bool_())])
 
 
-def python_decisions(path: str, text: str) -> list[dict]:
-    """Branches, guards, match arms, defaults and handled errors of Python functions, in order."""
+def python_decisions(path: str, text: str, values: bool = False) -> list[dict]:
+    """Branches, guards, match arms, defaults and handled errors of Python functions, in order.
+
+    With ``values`` default parameters and literal returns too.
+    """
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -157,7 +164,13 @@ def python_decisions(path: str, text: str) -> list[dict]:
             seen[mark] = seen.get(mark, 0) + 1
             out.append({"canonical": canonical, "kind": kind, "line": at.lineno, "condition": condition, "fingerprint": mark, "ordinal": seen[mark], "branches": branches, "controlled": controlled, "routine": routine})
 
+        if values:
+            given = node.args.defaults + [d for d in node.args.kw_defaults if d]
+            for d in sorted(given, key=lambda d: (d.lineno, d.col_offset)):
+                add("default_value", d, ast.unparse(d), 1, [], False)
         for n in own(node):
+            if values and isinstance(n, ast.Return) and (isinstance(n.value, ast.JoinedStr) or (isinstance(n.value, ast.Constant) and n.value.value is not ...)):
+                add("literal_return", n, ast.unparse(n.value), 1, [], False)
             if isinstance(n, ast.If):
                 test = ast.unparse(n.test)
                 routine = test.startswith(("isinstance(", "not isinstance(")) or (leaves(n.body) and len(n.body) == 1 and re.fullmatch(r"(?:not )?\w+|\w+ is (?:not )?None", test) is not None and not calls(n.body))
@@ -177,20 +190,26 @@ def python_decisions(path: str, text: str) -> list[dict]:
     return out
 
 
-def decision_points(files: DataFrame) -> DataFrame:
-    """Decision points of the Python files among (file_id, path, text)."""
+def decision_points(files: DataFrame, values: bool = False) -> DataFrame:
+    """Decision points of the Python, Rust and Go files among (file_id, path, text).
+
+    ``values`` adds the fixed values of Python, default parameters and literal returns.
+    """
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lodestone.functions.decisions import source_decisions
+
         for batch in batches:
             at, rows = [], []
             for k, (path, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for row in python_decisions(path, text.removeprefix("﻿").replace("\r\n", "\n")):
+                text, ext = text.removeprefix("﻿").replace("\r\n", "\n"), path.lower().rsplit(".", 1)[-1]
+                for row in python_decisions(path, text, values) if ext == "py" else source_decisions(path, text, ext):
                     at.append(k)
                     rows.append(row)
             table = pa.Table.from_pylist(rows, schema=POINT).combine_chunks()
             columns = [table.column(n).combine_chunks() if rows else pa.array([], POINT.field(n).type) for n in POINT.names]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["file_id", *POINT.names])
 
-    source = files.select("file_id", "path", "text").filter(F.col("text").isNotNull() & F.lower("path").endswith(".py"))
+    source = files.select("file_id", "path", "text").filter(F.col("text").isNotNull() & F.lower("path").rlike(r"\.(py|rs|go)$"))
     return source.mapInArrow(run, f"file_id bigint, {POINT_SQL}")

@@ -40,8 +40,8 @@ def duplicate_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decision_points(spark: SparkSession, d: str) -> DataFrame:
-    """Branches, guards, arms, defaults and handled errors of the Python files."""
-    return scan.decision_points(read(spark, d, "source_files").dropDuplicates(["file_id"]))
+    """Branches, guards, arms, handled errors and fixed values of the Python, Rust and Go files."""
+    return scan.decision_points(read(spark, d, "source_files").dropDuplicates(["file_id"]), values=True)
 
 
 def tree_lengths(spark: SparkSession, d: str) -> DataFrame:
