@@ -111,16 +111,20 @@ def distances(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     """(key, depth): least number of edges from any seed over (src, dst), either way.
 
     A driver loop of frontier joins; each round is written to the shared folder, so the plan
-    stays flat and a lost executor costs one round.
+    stays flat and a lost executor costs one round. Raises if ROUNDS are not enough.
     """
     around = materialise(both_ways(edges.select("src", "dst")).select("here", "there").distinct(), "around")
     frontier = materialise(seeds.select("key").distinct().withColumn("depth", F.lit(0)), "depth-0")
     found = frontier
-    for depth in range(1, min(ROUNDS, max_depth if max_depth is not None else ROUNDS) + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(around, frontier["key"] == around["here"]).select(F.col("there").alias("key")).distinct()
         frontier = materialise(step.join(found.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth)), f"depth-{depth}")
         if frontier.isEmpty():
             break
+        if depth > ROUNDS:
+            raise RuntimeError(f"nodes lie more than {ROUNDS} edges from every seed")
         found = found.unionByName(frontier)
     return found
 

@@ -64,9 +64,9 @@ def related_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def min_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of every node from the features, over all open edges."""
+    """Distance of every reachable node from the domain concepts, over all open edges, at any depth."""
     graph = load(spark, d)
-    return g.distances(graph.edges, _seeds(graph, "domain_concept"), 6)
+    return g.distances(graph.edges, _seeds(graph, "domain_concept"))
 
 
 def callers_of(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from lodestone.operators import graph as g
+from lodestone.plans import graph_queries
 from lodestone.sources.graph import Graph
 
 NODES = "stable_key string, identifier string, name string, kind string, is_test boolean"
@@ -93,6 +94,23 @@ def test_distances_and_components_against_brute_force(spark):
     assert roots == {k: min(reach([k])) for k, v in around.items() if v - {k}}
 
 
+def test_distances_raise_when_rounds_do_not_suffice(spark, rows, monkeypatch):
+    edges, seeds = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string"), spark.createDataFrame([("a",)], "key string")
+    monkeypatch.setattr(g, "ROUNDS", 3)
+    assert rows(g.distances(edges, seeds)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    monkeypatch.setattr(g, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        g.distances(edges, seeds)
+    assert rows(g.distances(edges, seeds, 2)) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_min_depth_has_no_bound(spark, rows, monkeypatch):
+    nodes = [("n0", "n0", "domain_concept", False)] + [(f"n{n}", f"n{n}", "code_symbol", False) for n in range(1, 10)]
+    gr = graph(spark, nodes, [(f"n{n}", f"n{n + 1}", "calls", "fact", "active", 10000) for n in range(9)])
+    monkeypatch.setattr(graph_queries, "load", lambda *_: gr)
+    assert rows(graph_queries.min_depth(spark, "")) == [(f"n{n}", n) for n in range(10)]
+
+
 @pytest.mark.parametrize("levels,want", [(1, {("b", 1)}), (2, {("b", 1), ("c", 2)}), (3, {("b", 1), ("c", 2), ("d", 3)})])
 def test_call_reach(spark, levels, want):
     gr = graph(spark, [], [(a, b, "calls", "fact", "active", 10000) for a, b in ("ab", "bc", "cd")])
