@@ -182,13 +182,13 @@ def slots(kind: str, key: str) -> list[int]:
 
 
 DIGIT, LABELS = 16, 32
-# First words of the labels in ID_LABELLED, folded.
-LABEL_WORDS = set("ssn social nino ni national steuer steuerid steueridnr steueridentifikationsnummer steuernummer tax dni nie nif documento passport reisepass passeport pasaporte carte personalausweis id numero insee".split())
+# A word, or its part behind an apostrophe, that some label in ID_LABELLED begins: compounds as well.
+LABEL_START = re.compile(r"(?<![^\W_])(?i:ssn|social|nino|ni|national|steuer|tax|dni|nie|nif|documento|passport|reisepass|passeport|pasaporte|carte|personalausweis|id|num[ée]ro|insee)")
 
 
 class Kinds(dict):
     """What a word may be part of: 1 given name, 2 surname, 4 ending of surnames, 8 ending of given
-    names, 16 digit word, 32 label of an identity number; 0 none."""
+    names, 16 digit word, 32 start of a label of an identity number; 0 none."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -203,7 +203,7 @@ class Kinds(dict):
             if word[0].isupper():
                 k += 4 * (len(key) > TAIL_SIZE + 1 and self._has(TAIL, key[-TAIL_SIZE:]))
                 k += 8 * (len(key) > GIVEN_TAIL_SIZE + 1 and self._has(GIVEN_TAIL, key[-GIVEN_TAIL_SIZE:]))
-        k += DIGIT * (word.lower() in DIGIT_WORDS) + LABELS * (key in LABEL_WORDS)
+        k += DIGIT * (word.lower() in DIGIT_WORDS) + LABELS * bool(LABEL_START.search(word))
         if len(self) < 1_000_000:
             self[word] = k
         return k

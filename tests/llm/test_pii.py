@@ -61,3 +61,14 @@ def test_table(spark, rows):
     clean = {r["fetch_id"]: r["body"] for r in pii.redacted(df).collect()}
     assert clean[1] == "[NAME] called" and clean[2] is None and clean[3] == ""
     assert pii.personal_information(df.filter("fetch_id > 99")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Reisepassnummer: C01X00147 fehlt", "C01X00147"), ("Personalausweisnummer 123456789", "123456789"), ("see passportnumber XM1671229", "XM1671229"), ("PASSPORTNO.: XM1671229", "XM1671229"),
+        ("l'insee 123456789 du client", "123456789"), ("my_dni 14625019U", "14625019U"), ("a compassport XM1671229", None),
+    ],
+)
+def test_compound_labels(lexicon, text, want):
+    assert find(text, lexicon) == ([("id_number", want)] if want else [])
