@@ -126,3 +126,94 @@ def test_failed_run_is_replayed_without_gap_or_repeat(spark, rows):
 def test_instant(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string").select(inc.instant(F.col("t")).cast("timestamp_ntz"))
     assert df.first()[0] == want
+
+
+class Tables:
+    """A growing log, ledger and runs; ``whole`` is what one run over everything finds."""
+
+    def __init__(self, spark):
+        self.spark, self.comments, self.ledger, self.runs = spark, [], [], {}
+
+    def frames(self):
+        led = [(i, "jira", "comment", e, f, r, None) for i, (e, f, r) in enumerate(self.ledger)]
+        return comments(self.spark, *self.comments), self.spark.createDataFrame(led, LEDGER), self.spark.createDataFrame(list(self.runs.items()), RUNS)
+
+    def whole(self):
+        now = {}
+        for f, k, issue, body, _, created, updated in self.comments:
+            now[k] = max(now.get(k, ("", -1)), ((updated or created), f, issue, body))
+        known = {}
+        for i, (e, f, r) in enumerate(self.ledger):
+            if self.runs.get(r) == "succeeded":
+                known[e] = max(known.get(e, (-1,)), (r, i, f))
+        return {(k, sha(body)) for k, (_, _, issue, body) in now.items() if known.get(f"{issue}-comment-{k}", (0, 0, None))[2] != sha(body)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_runs_equal_one_over_everything(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    capture, sink = parts(spark, f"t7-{seed}")
+    t, ids = Tables(spark), list(range(1000))
+    rng.shuffle(ids)
+    for run in range(1, 12):
+        for _ in range(rng.randint(0, 6)):  # late, out of order, versions of old comments
+            k = f"k{rng.randint(0, 9)}"
+            at = f"2024-01-{rng.randint(1, 28):02d}T00:00:00Z"
+            t.comments.append((ids.pop(), k, "K-1", f"text {rng.randint(0, 3)}", None, at, None))
+        if t.comments and rng.random() < 0.5:
+            t.comments.append(rng.choice(t.comments))
+        if rng.random() < 0.3 and t.ledger:  # a run of others changes what is known
+            t.runs[1000 + run] = "succeeded"
+            t.ledger.append((rng.choice(t.ledger)[0], sha(f"text {rng.randint(0, 3)}"), 1000 + run))
+        if run == 9:
+            t.runs[1] = "failed"  # a success is taken back: everything is judged anew
+        want = t.whole()
+        got = inc.pending_comments(capture, sink, *t.frames(), run_id=run).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want), run
+        done = rng.random() < 0.6
+        t.runs[run] = "succeeded" if done else rng.choice(["failed", "aborted"])
+        left = [r for r in sorted(map(tuple, got)) if done or rng.random() < 0.5]
+        t.ledger += [(f"K-1-comment-{k}", f, run) for k, f in left]
+
+
+def test_what_a_running_run_holds_is_not_taken_up_twice(spark, rows):
+    capture, sink = parts(spark, "t8")
+    t = Tables(spark)
+    t.comments = [(1, "a", "K-1", "x", None, "2024-01-01T00:00:00Z", None)]
+    assert rows(inc.pending_comments(capture, sink, *t.frames(), run_id=1)) == [("a", sha("x"))]
+    t.runs[1] = "running"
+    t.comments.append((2, "b", "K-1", "y", None, "2024-01-01T00:00:00Z", None))
+    assert rows(inc.pending_comments(capture, sink, *t.frames(), run_id=2)) == [("b", sha("y"))]
+    t.runs |= {1: "failed", 2: "running"}
+    assert rows(inc.pending_comments(capture, sink, *t.frames(), run_id=3)) == [("a", sha("x"))]
+
+
+def test_files_once_read_are_not_read_again(spark, rows, tmp_path):
+    capture, sink = parts(spark, "t9")
+    none, runs = ledger(spark), spark.createDataFrame([], RUNS)
+    folder = f"file://{tmp_path}/log"
+    comments(spark, (1, "a", "K-1", "x", None, "2024-01-01T00:00:00Z", None)).coalesce(1).write.parquet(folder)
+    assert inc.pending_comments(capture, sink, folder, none, runs).count() == 1
+    assert capture.unread(folder).count() == 0
+    assert inc.pending_comments(capture, sink, folder, none, runs).count() == 0
+    more = [(2, "b", "K-1", "y", None, "2024-01-01T00:00:00Z", None), (1, "a", "K-1", "x", None, "2024-01-01T00:00:00Z", None)]
+    comments(spark, *more).coalesce(1).write.mode("append").parquet(folder)
+    assert capture.unread(folder).count() == 2
+    assert rows(inc.pending_comments(capture, sink, folder, none, runs)) == [("b", sha("y"))]
+
+
+def test_a_run_lost_while_it_writes_is_repeated(spark, rows):
+    capture, sink = parts(spark, "t10")
+    t = Tables(spark)
+    t.comments = [(1, "a", "K-1", "x", None, "2024-01-01T00:00:00Z", None)]
+    real, sink.write = sink.write, lambda *a: (_ for _ in ()).throw(RuntimeError("executor lost"))
+    with pytest.raises(RuntimeError):
+        inc.pending_comments(capture, sink, *t.frames(), run_id=1)
+    sink.write = real
+    t.comments.append((2, "b", "K-1", "y", None, "2024-01-01T00:00:00Z", None))
+    assert rows(inc.pending_comments(capture, sink, *t.frames(), run_id=1)) == [("a", sha("x"))]
+    t.runs[1] = "succeeded"
+    t.ledger = [("K-1-comment-a", sha("x"), 1)]
+    assert rows(inc.pending_comments(capture, sink, *t.frames(), run_id=2)) == [("b", sha("y"))]
