@@ -16,8 +16,8 @@ THEN, NOW = "2024-09-01 00:00:00", "2025-10-01 00:00:00"
 
 def _shown(spark: SparkSession, d: str, nth: int) -> DataFrame:
     """The claims of the nth complete snapshot from the end, after corrections."""
-    slots = [c for c, whole in history.slots_of(read(spark, d, "index_snapshots")) if whole]
-    rows = read(spark, d, "edge_snapshots").filter(F.col("commit_seq") == slots[-nth])
+    slot = history.complete(read(spark, d, "index_snapshots"), nth)[-1]
+    rows = read(spark, d, "edge_snapshots").filter(F.col("commit_seq") == slot)
     last = rows.groupBy("fingerprint").agg(F.max(F.struct("recorded_at", "status", "confidence_bp", "producer", "stale_reason")).alias("c"))
     return last.select("fingerprint", F.lower(F.trim("c.status")).alias("status"), "c.confidence_bp", "c.producer", "c.stale_reason")
 

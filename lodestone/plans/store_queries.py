@@ -13,7 +13,7 @@ from lodestone.sources.graph import load
 
 def scd2_merge(spark: SparkSession, d: str) -> DataFrame:
     """The claims of the third last complete snapshot, with the two after it merged in."""
-    whole = [c for c, w in history.slots_of(read(spark, d, "index_snapshots")) if w]
+    whole = history.complete(read(spark, d, "index_snapshots"), 3)[::-1]
     side = lambda n: _shown(spark, d, n).select("fingerprint", "status", "producer")
     start = side(3).withColumn("valid_from", F.lit(whole[-3]).cast("long")).withColumn("valid_to", F.lit(None).cast("long"))
     merged = store.scd2_merge(start, side(2), ["fingerprint"], ["status", "producer"], whole[-2])

@@ -57,8 +57,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshots = history.slots_of(read(spark, sf_dir, "index_snapshots"))
-    return history.bitemporal_ledger(history.assertions(read(spark, sf_dir, "edge_snapshots"), snapshots))
+    rows = read(spark, sf_dir, "edge_snapshots")
+    axis = history.axis_of(history.slots_of(read(spark, sf_dir, "index_snapshots")), rows)
+    return history.bitemporal_ledger(history.assertions(rows, axis), False)
 
 
 QUERIES = {"p1_found": p1_found, "p1_second_run": p1_second_run, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_ledger": p5_ledger}
@@ -140,9 +141,10 @@ FROM runs GROUP BY fingerprint, run
 """
 
 _P5_LEDGER = """
-SELECT fingerprint, commit_seq AS slot, lower(trim(status)) AS status, recorded_at AS recorded_from,
+WITH a AS (SELECT commit_seq FROM index_snapshots UNION SELECT commit_seq FROM edge_snapshots), nx AS (SELECT commit_seq, lead(commit_seq) OVER (ORDER BY commit_seq) AS valid_to FROM a)
+SELECT fingerprint, status, commit_seq AS valid_from, valid_to, recorded_at AS recorded_from,
        lead(recorded_at) OVER w AS recorded_to, lead(commit_seq) OVER w IS NOT NULL AS superseded
-FROM (SELECT DISTINCT fingerprint, commit_seq, lower(trim(status)) AS status, recorded_at FROM edge_snapshots)
+FROM (SELECT DISTINCT fingerprint, commit_seq, lower(trim(status)) AS status, recorded_at FROM edge_snapshots) JOIN nx USING (commit_seq)
 WINDOW w AS (PARTITION BY fingerprint, commit_seq ORDER BY recorded_at, status NULLS FIRST)
 """
 
