@@ -1,21 +1,25 @@
 """References to records that do not exist.
 
-Two signed counts per key, fed by change deltas: references (+1 where one begins, -1 where it
-ends) and existence (+1 where a record begins, -1 where it ends). A key with positive references
-and zero existence is an orphan. The running existence count of a key is swept along its axis
-(commit numbers or microseconds) and leaves the key's gaps, the stretches without a live record;
-the references of a key are then held against its gaps.
+Two signed counts per key, summed from change deltas: references (+1 where one begins, -1 where it
+ends) and existence (+1 where a record begins, -1 where it ends). Both are swept along the axis of
+the key (commit numbers or microseconds); where references are positive and existence is zero the
+key is orphaned. Sums of deltas are all the state there is: a change of a row adds its new deltas
+and takes back the old ones (:class:`OrphanState`). The rows of orphaned keys are then held against
+the orphaned stretches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.skew import HOT_FLOOR, hot_keys, salted_join
+from lodestone.session import materialise
 
 ALWAYS = (1 << 63) - 1
-NEVER = -(1 << 63)
+DAY = 86_400_000_000
+COMPACT = 8
+DELTA = "key string, at long, refs long, live long, begun long"
 
 
 def clean_key(key: Column) -> Column:
@@ -24,61 +28,112 @@ def clean_key(key: Column) -> Column:
     return F.when(bare != "", bare)
 
 
+def _deltas(rows: DataFrame, steps: list[tuple[Column, int, int, int]]) -> DataFrame:
+    """(key, at, refs, live, begun) of rows that count ``n`` times (default once; negative: taken back)."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    parts = [F.struct(at.cast("long").alias("at"), *[(n * d).cast("long").alias(c) for c, d in zip(("refs", "live", "begun"), ds)]) for at, *ds in steps]
+    return rows.select("key", F.inline(F.array(*parts))).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
+
+
 def existence_deltas(records: DataFrame) -> DataFrame:
-    """(key, at, d) of records (key, start, end); an empty interval exists at no time."""
-    live = records.filter(F.col("end").isNull() | (F.col("end") > F.col("start")))
-    sides = F.array(
-        F.struct(F.col("start").alias("at"), F.lit(1).alias("d")),
-        F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")),
-    )
-    return live.select("key", F.inline(sides)).filter(F.col("at").isNotNull())
+    """Deltas of records (key, start, end); one with an empty interval begins but never exists."""
+    known = records.filter(F.col("start").isNotNull())
+    empty = F.col("end").isNotNull() & (F.col("end") <= F.col("start"))
+    real = lambda at: F.when(~empty, at)
+    return _deltas(known, [(F.col("start"), 0, 0, 1), (real(F.col("start")), 0, 1, 0), (real(F.col("end")), 0, -1, 0)])
+
+
+def reference_deltas(refs: DataFrame, grain: int = 1) -> DataFrame:
+    """Deltas of references (key, lo, hi; null: open), their ends moved outward to multiples of
+    ``grain``, which bounds the positions of a key that a third of all rows name.
+    """
+    real = refs.filter(F.col("hi").isNull() | (F.col("hi") > F.col("lo")))
+    lo = F.col("lo") - F.pmod(F.col("lo"), F.lit(grain))
+    hi = F.col("hi") + F.pmod(-F.col("hi"), F.lit(grain))
+    return _deltas(real, [(lo, 1, 0, 0), (hi, -1, 0, 0)])
 
 
-def existence_gaps(records: DataFrame) -> DataFrame:
-    """One row per key: ``first`` start of any record and ``gaps``, where the running count is zero.
+def summed(deltas: DataFrame) -> DataFrame:
+    """One row per key and position, combined map-side; what cancels out is gone."""
+    sums = deltas.groupBy("key", "at").agg(*[F.sum(c).alias(c) for c in ("refs", "live", "begun")])
+    return sums.filter("refs <> 0 or live <> 0 or begun <> 0")
 
-    Deltas are summed by key and position before they are sorted, so copies and a key holding a
-    third of all rows cost one row per distinct position. Positions of a key are bounded by the
-    axis (commit numbers) or by the fixed table of published records.
+
+def orphaned_keys(sums: DataFrame) -> DataFrame:
+    """(key, first, references, bare) of keys with positive references and zero existence somewhere.
+
+    ``bare`` are those stretches, ``first`` is where the first record begins (null: there is none),
+    ``references`` the number of references. The sweep sorts a key's positions, bounded by the axis
+    and the grain, not its rows.
     """
-    sums = existence_deltas(records).groupBy("key", "at").agg(F.sum("d").alias("d"))
     order = Window.partitionBy("key").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     swept = sums.select(
-        "key",
-        "at",
-        F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("live"),
-        F.lead("at").over(order).alias("next"),
+        "key", "at", "refs", *[F.sum(c).over(upto).alias(f"{c}_now") for c in ("refs", "live", "begun")], F.coalesce(F.lead("at").over(order), F.lit(ALWAYS)).alias("next")
     )
-    after = F.when(F.col("live") <= 0, F.struct(F.col("at").alias("lo"), F.coalesce("next", F.lit(ALWAYS)).alias("hi")))
-    gaps = swept.groupBy("key").agg(F.min("at").alias("begin"), F.collect_list(after).alias("later"))
-    first = records.groupBy("key").agg(F.min("start").alias("first"))
-    head = F.struct(F.lit(NEVER).alias("lo"), F.coalesce("begin", F.lit(ALWAYS)).alias("hi"))
-    rest = F.coalesce("later", F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
-    return first.join(gaps, "key", "left").select("key", "first", F.concat(F.array(head), rest).alias("gaps"))
-
-
-def reference_counts(refs: DataFrame) -> DataFrame:
-    """Signed reference count per key: all references of a key, combined map-side."""
-    return refs.groupBy("key").agg(F.count(F.lit(1)).alias("references"))
+    bare = F.when((F.col("refs_now") > 0) & (F.col("live_now") <= 0), F.struct(F.col("at").alias("lo"), F.col("next").alias("hi")))
+    keys = swept.groupBy("key").agg(
+        F.min(F.when(F.col("begun_now") > 0, F.col("at"))).alias("first"), F.sum(F.greatest("refs", F.lit(0))).alias("references"), F.collect_list(bare).alias("bare")
+    )
+    return keys.filter(F.size("bare") > 0)
 
 
-def orphan_references(refs: DataFrame, records: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def orphan_references(refs: DataFrame, records: DataFrame, hot_floor: int = HOT_FLOOR, grain: int = 1) -> DataFrame:
     """References that meet no live record at some position of theirs, with the reason.
 
     ``refs``: ref_table, ref_field, row_id, period, key, lo, hi (null: open); ``records``: key,
     start, end (null: open). Null keys are no references and empty intervals no cases. Reason
     ``missing``: no record has the key; ``late``: all begin after lo; else ``deleted``. Repeated
     rows come out once. Extra columns are ignored.
+
+    A reference is a case exactly if it meets an orphaned stretch of its key: where it lies itself,
+    references are positive. So only rows of orphaned keys are joined.
     """
     refs = refs.filter(F.col("key").isNotNull() & (F.col("hi").isNull() | (F.col("hi") > F.col("lo"))))
-    records = records.filter(F.col("key").isNotNull() & F.col("start").isNotNull())
-    hot = hot_keys(reference_counts(refs), "key", "references", floor=hot_floor)
-    joined = salted_join(refs, existence_gaps(records), "key", F.col("row_id"), hot)
+    deltas = reference_deltas(refs, grain).unionByName(existence_deltas(records))
+    return cases(refs, materialise(orphaned_keys(summed(deltas)), "orphaned"), hot_floor)
+
+
+def cases(refs: DataFrame, orphaned: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
+    """The references that meet orphaned stretches of their keys."""
+    hot = hot_keys(orphaned.select("key", "references"), "key", "references", floor=hot_floor)
     hi = F.coalesce("hi", F.lit(ALWAYS))
-    bare = F.exists("gaps", lambda g: (g.lo < hi) & (g.hi > F.col("lo")))
+    met = salted_join(refs, orphaned, "key", F.col("row_id"), hot, "inner").filter(F.exists("bare", lambda g: (g.lo < hi) & (g.hi > F.col("lo"))))
     reason = F.when(F.col("first").isNull(), "missing").when(F.col("first") > F.col("lo"), "late").otherwise("deleted")
-    cases = joined.filter(F.col("first").isNull() | bare)
-    return cases.select("ref_table", "ref_field", "row_id", reason.alias("reason"), "period").distinct()
+    return met.select("ref_table", "ref_field", "row_id", reason.alias("reason"), "period").distinct()
+
+
+def row_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of ``after`` that ``before`` lacks with n > 0, and rows it has too many of with n < 0."""
+    cols = before.columns
+    both = before.withColumn("n", F.lit(-1)).unionByName(after.select(*cols).withColumn("n", F.lit(1)))
+    return both.groupBy(*cols).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+class OrphanState:
+    """The summed deltas of all batches: each batch adds its own, every ``COMPACT``-th writes the sum.
+
+    A batch is a numbered folder that a repeated run overwrites, so nothing counts twice.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def sums(self, batches: int) -> DataFrame:
+        """The state after the first ``batches`` batches."""
+        if batches <= 0:
+            return self.spark.createDataFrame([], DELTA)
+        base = (batches - 1) // COMPACT * COMPACT
+        paths = [f"{self.root}/whole={base}" if base else f"{self.root}/delta=0", *(f"{self.root}/delta={n}" for n in range(base + 1, batches))]
+        return summed(self.spark.read.schema(DELTA).parquet(*paths))
+
+    def apply(self, batch: int, deltas: DataFrame) -> DataFrame:
+        """Add the deltas of a batch; the orphaned keys after it."""
+        summed(deltas).write.mode("overwrite").parquet(f"{self.root}/delta={batch}")
+        if batch and batch % COMPACT == 0:
+            own = self.spark.read.schema(DELTA).parquet(f"{self.root}/delta={batch}")
+            summed(self.sums(batch).unionByName(own)).write.mode("overwrite").parquet(f"{self.root}/whole={batch}")
+        return orphaned_keys(self.sums(batch + 1))
 
 
 def month(at: Column) -> Column:

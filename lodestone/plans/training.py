@@ -44,10 +44,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = orphans.orphan_references(
         orphans.call_references(read(spark, sf_dir, "external_calls")),
         orphans.endpoint_records(read(spark, sf_dir, "endpoints")),
+        grain=orphans.DAY,
     )
     return edges.unionByName(calls)
 
 
+def p2_orphaned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphaned keys of the edges from state kept over two deliveries, the later one by its deltas.
+
+    Length of the closed orphaned stretches, where the first begins, whether one is open.
+    """
+    state = orphans.OrphanState(spark, scratch(spark, "p2-state"))
+    early = F.col("recorded_at") < F.lit(HALF).cast("timestamp_ntz")
+
+    def deltas(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        return orphans.reference_deltas(edges).unionByName(orphans.existence_deltas(nodes))
+
+    tables = [read(spark, sf_dir, t) for t in ("edges", "nodes")]
+    before = [make(t.filter(early)) for make, t in zip((orphans.edge_references, orphans.node_records), tables)]
+    after = [make(t) for make, t in zip((orphans.edge_references, orphans.node_records), tables)]
+    state.apply(0, deltas(*before))
+    now = state.apply(1, deltas(*(orphans.row_changes(b, a) for b, a in zip(before, after))))
+    length = F.aggregate("bare", F.lit(0).cast("long"), lambda x, g: x + F.when(g.hi == orphans.ALWAYS, 0).otherwise(g.hi - g.lo))
+    return now.select("key", "first", length.alias("length"), F.array_min(F.transform("bare", lambda g: g.lo)).alias("begins"), F.exists("bare", lambda g: g.hi == orphans.ALWAYS).alias("open"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(p2_found(spark, sf_dir))
 
@@ -62,7 +83,7 @@ def p5_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.bitemporal_ledger(history.assertions(rows, axis), False)
 
 
-QUERIES = {"p1_found": p1_found, "p1_second_run": p1_second_run, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_ledger": p5_ledger}
+QUERIES = {"p1_found": p1_found, "p1_second_run": p1_second_run, "p2_found": p2_found, "p2_report": p2_report, "p2_orphaned_keys": p2_orphaned_keys, "p5_found": p5_found, "p5_ledger": p5_ledger}
 
 _P1 = r"""
 WITH v AS (
@@ -121,6 +142,18 @@ SELECT 'external_calls', 'path_template', call_id,
 FROM j WHERE NOT resolved
 """
 
+_P2_KEYS = r"""
+WITH e AS (SELECT edge_id, valid_from AS lo, valid_to AS hi, unnest([src, dst]) AS raw FROM edges WHERE valid_to IS NULL OR valid_to > valid_from),
+r AS (SELECT DISTINCT edge_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS key, lo, hi FROM e),
+n AS (SELECT DISTINCT regexp_replace(stable_key, '^\s+|\s+$', '', 'g') AS key, created_commit AS lo, retired_commit AS hi FROM nodes),
+d AS (SELECT key, lo AS p, 1 AS refs, 0 AS live FROM r UNION ALL SELECT key, hi, -1, 0 FROM r WHERE hi IS NOT NULL
+ UNION ALL SELECT key, lo, 0, 1 FROM n WHERE hi IS NULL OR hi > lo UNION ALL SELECT key, hi, 0, -1 FROM n WHERE hi > lo),
+s AS (SELECT key, p, sum(refs) AS refs, sum(live) AS live FROM d WHERE key <> '' GROUP BY key, p),
+w AS (SELECT key, p, sum(refs) OVER o AS refs, sum(live) OVER o AS live, lead(p) OVER (PARTITION BY key ORDER BY p) AS next FROM s WINDOW o AS (PARTITION BY key ORDER BY p ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT key, sum(coalesce(next - p, 0))::BIGINT AS length, min(p) AS begins, bool_or(next IS NULL) AS open FROM w WHERE refs > 0 AND live <= 0 GROUP BY key)
+SELECT b.*, f.first FROM b LEFT JOIN (SELECT key, min(lo) AS first FROM n GROUP BY key) f USING (key)
+"""
+
 _P5 = r"""
 WITH cur AS (
   SELECT fingerprint, commit_seq AS slot, lower(trim(status)) AS status FROM edge_snapshots
@@ -153,6 +186,7 @@ ORACLE = {
     "p1_second_run": _P1,
     "p2_found": _P2,
     "p2_report": f"SELECT ref_table, ref_field, period, reason, count(*) AS orphans FROM ({_P2}) GROUP BY ALL",
+    "p2_orphaned_keys": _P2_KEYS,
     "p5_found": _P5,
     "p5_ledger": _P5_LEDGER,
 }

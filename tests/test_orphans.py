@@ -36,8 +36,8 @@ def test_against_brute_force_with_hot_key(spark):
     r = spark.createDataFrame([(*x, "x") for x in refs + refs[:100]], REFS)
     e = spark.createDataFrame([(*x, "x") for x in recs + recs[:10]], RECS)
     want = brute(refs, recs)
-    for floor in (100_000, 50):  # plain, and with the hot key dealt out
-        got = [tuple(x) for x in o.orphan_references(r, e, floor).select("ref_table", "ref_field", "row_id", "reason", "period").collect()]
+    for floor, grain in ((100_000, 1), (50, 1), (50, 7)):  # plain, with the hot key dealt out, on a coarse axis
+        got = [tuple(x) for x in o.orphan_references(r, e, floor, grain).select("ref_table", "ref_field", "row_id", "reason", "period").collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -57,3 +57,27 @@ def test_keys_and_routes(spark):
 def test_report_counts(spark, rows):
     found = spark.createDataFrame([("e", "src", 1, "late", "2024-01"), ("e", "src", 2, "late", "2024-01")], "ref_table string, ref_field string, row_id long, reason string, period string")
     assert rows(o.orphan_report(found)) == [("e", "src", "2024-01", "late", 2)]
+
+
+def test_deltas_of_changes_equal_one_run_over_everything(spark, rows):
+    from lodestone.session import scratch
+
+    rng = random.Random(6)
+    state, refs, recs = o.OrphanState(spark, scratch(spark, "orphans")), [], []
+    cols = lambda df: df.select("key", "first", "bare")
+    for n in range(10):  # past a compaction
+        old_refs, old_recs = list(refs), list(recs)
+        for _ in range(6):
+            lo = rng.randrange(30)
+            refs.append(("e", "dst", rng.randrange(10**6), "m", f"k{rng.randrange(8)}", lo, rng.choice([None, lo, lo + 4])))
+            recs.append((f"k{rng.randrange(10)}", lo, rng.choice([None, lo, lo + 9])))
+        for rows_ in (refs, recs):
+            rng.shuffle(rows_)
+            del rows_[: rng.randrange(4)]  # rows go, and others come twice
+        refs.append(refs[0])
+        frame = lambda x, schema: spark.createDataFrame([(*r, "x") for r in x], schema)
+        changes = o.reference_deltas(o.row_changes(frame(old_refs, REFS), frame(refs, REFS))).unionByName(o.existence_deltas(o.row_changes(frame(old_recs, RECS), frame(recs, RECS))))
+        got = state.apply(n, changes)
+        if n in (0, 4, 9):
+            whole = o.orphaned_keys(o.summed(o.reference_deltas(frame(refs, REFS)).unionByName(o.existence_deltas(frame(recs, RECS)))))
+            assert rows(cols(got)) == rows(cols(whole)) and whole.count()
