@@ -1,9 +1,10 @@
 """Markup residue in text documents.
 
-A text is cut into blocks. The first pass decides a block from what it holds: constructs of one
-markup language, stop-word density, length and link density. The second pass lets the undecided
-ones, short blocks and constructs that two languages share, inherit from the nearest decided
-neighbour. Headings, lists, code blocks and formulas survive the cleaning.
+A text is cut into blocks. The first pass decides from stop-word density, length and link density
+whether a block is text or residue, and from its own constructs which language it is in. The second
+pass lets the undecided ones, short blocks and constructs that two languages share, inherit from
+the nearest decided neighbour. Both the languages found and the clean text are read off the blocks
+so classified. Headings, lists, code blocks and formulas survive the cleaning.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ SHARED_WORD = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])
 URL = re.compile(r"https?://[^\s<>\"|\])}]+")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
 CODE_MARK = re.compile("\x02(\\d+)\x03")
-IS_ADF = re.compile(r"\s*\{(?=.{0,200}?\"type\"\s*:\s*\"doc\")", re.S)
+OBJECT = re.compile(r"\s*\{\s*\"")
+ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
 
 
 def is_formula(m: re.Match) -> bool:
@@ -97,11 +99,6 @@ def is_formula(m: re.Match) -> bool:
     return bool(MATH.search(next(g for g in m.groups() if g is not None)))
 
 
-# --- the tracker's JSON tree ------------------------------------------------------------------
-
-ADF_TOKEN = re.compile(r'"type"\s*:\s*"(?P<type>\w+)"|"text"\s*:\s*"(?P<text>(?:[^"\\]|\\.)*)"(?P<rest>(?:[^{}"]|"(?!text")(?:[^"\\]|\\.)*"|\{[^{}]*\{?[^{}]*\}?[^{}]*\})*)', re.S)
-
-
 @dataclass
 class Block:
     kind: str
@@ -109,30 +106,95 @@ class Block:
     level: int = 0
     dialect: str | None = None
     keep: bool | None = None
+    raw: str | None = None
 
 
-def unescape(raw: str) -> str:
+# --- the tracker's JSON tree ------------------------------------------------------------------
+
+JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:(?P<end>")|\\?\Z)|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
+HALF_ESCAPE = re.compile(r"(?<!\\)((?:\\\\)*)\\(?:u[0-9a-fA-F]{0,3})?$")
+# Node types of the tree that begin a block, and what they become.
+TREE_BLOCKS = {"paragraph": "text", "heading": "heading", "codeBlock": "code", "listItem": "item", "taskItem": "item", "decisionItem": "item", "tableCell": "text", "tableHeader": "text", "blockquote": "text", "rule": "text", "panel": "text"}
+
+
+def mended(text: str) -> str:
+    """A JSON text that was cut off, ended after its last whole value, with what stands open closed."""
+    open_: list[list[str]] = []  # closing bracket, what comes next
+    upto, tail = 0, ""
+
+    def whole(end: int) -> None:
+        nonlocal upto, tail
+        upto, tail = end, "".join(b for b, _ in reversed(open_))
+
+    for m in JSON_TOKEN.finditer(text):
+        t = m[0]
+        if t in "{[":
+            open_.append(["}", "key"] if t == "{" else ["]", "value"])
+            whole(m.end())
+        elif t in "}]":
+            if open_:
+                open_.pop()
+            whole(m.end())
+        elif t in ",:":
+            if open_:
+                open_[-1][1] = "value" if t == ":" or open_[-1][0] == "]" else "key"
+        elif open_ and open_[-1][1] == "value":
+            if t[0] == '"' and not m["end"]:
+                return text[: m.start()] + HALF_ESCAPE.sub(r"\1", t) + '"' + "".join(b for b, _ in reversed(open_))
+            if t[0] == '"' or m.end() < len(text):
+                whole(m.end())
+    return text[:upto] + tail
+
+
+def tree_of(text: str) -> dict | None:
+    """The tracker's tree that a text is, wherever its type stands; null for anything else.
+
+    A tree that is cut off is read as far as it goes; one cut before its type is known by its content.
+    """
+    if not OBJECT.match(text):
+        return None
     try:
-        return json.loads(f'"{raw}"')
+        tree, cut = json.loads(text), False
+    except RecursionError:
+        return None
     except ValueError:
-        return raw
-
-
-def adf_pieces(text: str) -> Iterator[tuple[str, str, bool]]:
-    """(block type, text, is code) in document order; a tree that is cut off is read as far as it goes."""
-    block, level = "paragraph", 0
-    for m in ADF_TOKEN.finditer(text):
-        if m["type"]:
-            kind = m["type"]
-            if kind in ("paragraph", "heading", "codeBlock", "listItem", "tableCell", "tableHeader", "blockquote", "rule", "hardBreak"):
-                if kind in ("paragraph",) and block in ("listItem", "tableCell", "tableHeader") and level == 0:
-                    level = 1
-                    continue
-                block, level = kind, 0
-                yield block, "", False
-        else:
-            code = block == "codeBlock" or bool(re.search(r'"type"\s*:\s*"code"', m["rest"] or ""))
-            yield block, unescape(m["text"]), code
+        try:
+            tree, cut = json.loads(mended(text)), True
+        except (ValueError, RecursionError):
+            return None
+    if not isinstance(tree, dict):
+        return None
+    if tree.get("type") == "doc":
+        return tree
+    return tree if cut and "type" not in tree and isinstance(tree.get("content"), list) else None
+
+
+def tree_blocks(tree: dict) -> list[tuple[Block, list[tuple[str, bool]]]]:
+    """Blocks of a tree in order, each with its pieces of text and whether they are code."""
+    out: list[tuple[Block, list[tuple[str, bool]]]] = []
+    stack: list = [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack.extend(reversed(node))
+            continue
+        if not isinstance(node, dict):
+            continue
+        kind = node.get("type")
+        if kind == "text" or (kind not in TREE_BLOCKS and isinstance(node.get("text"), str)):
+            marks = node.get("marks") if isinstance(node.get("marks"), list) else []
+            code = any(isinstance(k, dict) and k.get("type") == "code" for k in marks)
+            if not out:
+                out.append((Block("text", "", 0, ADF), []))
+            out[-1][1].append((str(node.get("text") or ""), code or out[-1][0].kind == "code"))
+        elif kind == "hardBreak" and out:
+            out[-1][1].append(("\n", False))
+        elif kind in TREE_BLOCKS and not (kind == "paragraph" and out and out[-1][0].kind == "item" and not out[-1][1]):
+            attrs = node.get("attrs") if isinstance(node.get("attrs"), dict) else {}
+            level = attrs.get("level") if kind == "heading" else 0
+            out.append((Block(TREE_BLOCKS[kind], "", level if isinstance(level, int) else 2, ADF), []))
+        stack.append(node.get("content") or [])
+    return out
 
 
 # --- languages of a text ----------------------------------------------------------------------
@@ -213,36 +275,42 @@ def languages(text: str | None) -> set[str]:
     """Markup languages of which the text holds at least one construct.
 
     A null or empty text has none. Inside the tracker's tree only formulas count besides. What
-    stands in code does not count. Blocks whose constructs Markdown and wiki share inherit the
-    language of the nearest block that is decided; where there is none they are Markdown.
+    stands in code does not count. The blocks are classified in two passes; what Markdown and wiki
+    share counts in blocks that are text, not in residue, and there inherits the language of the
+    nearest block that is decided; where there is none it is Markdown.
     """
     if not text:
         return set()
-    if IS_ADF.match(text):
-        found = {ADF}
-        if ("$" in text or "\\\\" in text) and any(
-            is_formula(m) for _, t, code in adf_pieces(text) if not code and t for m in FORMULA.finditer(t)
-        ):
-            found.add(LATEX)
-        return found
+    tree = tree_of(text)
+    if tree is not None:
+        plain = ("".join(" " if code else t for t, code in pieces) for _, pieces in tree_blocks(tree))
+        return {ADF, LATEX} if any(("$" in t or "\\" in t) and any(map(is_formula, FORMULA.finditer(t))) for t in plain) else {ADF}
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     bare, found, codes = split_code(text)
-    blocks = [Block("text", p) for p in PARAGRAPH.split(bare) if p.strip()]
-    undecided = []
+    blocks = [Block(shape_of(p), p) for p in PARAGRAPH.split(bare) if p.strip()]
+    shared = []
     for b in blocks:
         signs = distinct_signs(b.text)
         found |= signs
         signs |= {codes[int(k)][2] for k in CODE_MARK.findall(b.text)}
         b.dialect = MARKDOWN if MARKDOWN in signs else WIKI if WIKI in signs else None
         if b.dialect is None and shared_signs(b.text):
-            undecided.append(b)
-    if undecided:
+            shared.append(b)
+    if shared:
+        for b in blocks:
+            b.keep = first_pass(b)
+        second_pass(blocks)
         inherit(blocks, "dialect", MARKDOWN)
-        found |= {b.dialect for b in undecided}
+        found |= {b.dialect for b in shared if b.keep}
     return found
 
 
+def shape_of(part: str) -> str:
+    """What a block of marked-up text is by its first sign."""
+    return "item" if SHARED_LIST.match(part.lstrip("\n")) else "heading" if MD_HEAD.match(part.lstrip("\n")) else "text"
+
+
 # --- cleaning ---------------------------------------------------------------------------------
 
 LINK_LABELS = re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)|\[([^\[\]\n]*)\]\([^()\n]*\)|\[([^\[\]|\n]+)\|[^\[\]\n]+\]|\\href\{[^{}\n]*\}\{([^{}\n]*)\}")
@@ -283,18 +351,11 @@ def html_lines(text: str) -> str:
 
 def blocks_of(text: str) -> list[Block]:
     """Blocks of a text: heading, item, code, formula or text, in order."""
-    if IS_ADF.match(text):
-        out: list[Block] = []
-        for kind, piece, code in adf_pieces(text):
-            name = {"heading": "heading", "codeBlock": "code", "listItem": "item"}.get(kind, "text")
-            if not piece:
-                if kind != "hardBreak":
-                    out.append(Block(name, "", 2 if name == "heading" else 0, ADF))
-            elif out:
-                out[-1].text += piece
-            else:
-                out.append(Block(name, piece, 0, ADF))
-        return [b for b in out if b.text.strip()]
+    tree = tree_of(text)
+    if tree is not None:
+        for b, pieces in (own := tree_blocks(tree)):
+            b.text = "".join(t for t, _ in pieces)
+        return [b for b, _ in own if b.text.strip()]
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     bare, _, codes = split_code(text)
@@ -333,6 +394,7 @@ def blocks_of(text: str) -> list[Block]:
         flush()
     for b in out:
         if b.kind not in ("code", "formula"):
+            b.raw = b.text
             parts = re.split(r"(\$[^$\n]+\$|\\\(.+?\\\))", b.text)
             b.text = "".join(p if i % 2 else (" " if p[:1] == " " else "") + inline(p) + (" " if p[-1:] == " " and p.strip() else "") for i, p in enumerate(parts))
             b.text = re.sub(r"\x02(\d+)\x03", lambda m: codes[int(m[1])][1], b.text).strip()
@@ -342,18 +404,33 @@ def blocks_of(text: str) -> list[Block]:
 SHORT, LONG = 8, 20
 
 
+def link_density(b: Block) -> tuple[float, int]:
+    """Share of a block's visible text that labels of links and bare addresses make up; number of links."""
+    raw = b.text if b.raw is None else b.raw
+    if "http" not in raw and "](" not in raw and "|" not in raw and "<a" not in raw and "\\href" not in raw:
+        return 0.0, 0
+    labels = [next((g for g in m.groups() if g), "") for m in LINK_LABELS.finditer(raw)]
+    bare = LINK_LABELS.sub(" ", raw)
+    labels += [TAG.sub("", m[1]) for m in ANCHOR.finditer(bare)]
+    bare = ANCHOR.sub(" ", bare)
+    urls = URL.findall(bare)
+    linked, rest = sum(map(len, labels)) + sum(map(len, urls)), len(re.sub(r"\s+", "", URL.sub("", bare)))
+    return linked / max(1, linked + rest), len(labels) + len(urls)
+
+
 def first_pass(b: Block) -> bool | None:
-    """Keep, drop or undecided, from structure, stop-word density, length and link density."""
-    if b.kind in ("code", "formula", "heading"):
+    """Text (True), residue (False) or undecided, from structure, stop-word density, length and link
+    density. Structure that has to survive is always text."""
+    if b.kind in ("code", "formula", "heading", "item"):
         return True
     words = b.text.split()
-    linked = sum(len(x) for x in URL.findall(b.text)) / max(1, len(b.text))
+    linked, links = link_density(b)
     stops = sum(w.strip(".,;:!?").lower() in STOP for w in words) / max(1, len(words))
     if linked > 0.6:
-        return False
+        return False if links > 1 or b.text.lstrip().startswith("http") else None
     if len(words) < SHORT:
         return True if stops >= 0.3 and b.text[-1:] in ".!?" else None
-    if stops >= 0.08 or len(words) >= LONG or b.kind == "item":
+    if stops >= 0.08 or len(words) >= LONG:
         return True
     return None
 

@@ -28,6 +28,37 @@ CASES = [
 ]
 
 
+LATE = json.dumps({"content": TREE["content"], "version": 1, "type": "doc"})
+FORMULA = json.dumps({"type": "doc", "content": [{"type": "paragraph", "content": [{"marks": [{"type": "code"}], "type": "text", "text": "a"}]}, {"type": "paragraph", "content": [{"type": "text", "text": "$$O(n \\log n)$$"}]}]})
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (LATE, {"adf"}), (FORMULA, {"adf", "latex"}), (FORMULA.replace("doc", "page"), {"latex"}), (json.dumps({"type": "doc", "content": [{"type": "codeBlock", "content": [{"type": "text", "text": "$x^2$"}]}]}), {"adf"}),
+        (json.dumps({"pad": "x" * 500, "type": "doc", "content": []}), {"adf"}), ('{"a": 1}', set()), ('{"type": "doc", "content": ' + "[" * 100_000, set()),
+    ],
+)
+def test_trees_of_any_order(text, want):
+    assert m.languages(text) == want
+
+
+def test_a_tree_cut_anywhere_is_read_as_far_as_it_goes():
+    whole = json.dumps(WITH)
+    for n in range(len(whole) - 1, whole.index('"doc"') + 5, -1):
+        assert m.ADF in m.languages(whole[:n]), whole[:n]
+    shown = whole.index("{a}{b}$$") + len("{a}{b}$$")
+    assert all(m.LATEX in m.languages(whole[:n]) for n in range(shown, len(whole)))
+
+
+def test_link_density_and_items():
+    dense = m.Block("text", "Home Docs Help", raw="[Home](https://a.example/x) [Docs](https://b.example) [Help|https://c.example]")
+    one = m.Block("text", "the page", raw="[the page](https://a.example/x)")
+    assert m.first_pass(dense) is False and m.first_pass(one) is None
+    assert m.clean("https://a.example/x https://b.example/y\n\n- x\n- https://c.example") == "- x\n- https://c.example"
+    assert m.languages("https://a.example/*a* https://b.example/*b* *c*\n\nplain text of the page and of the rest.") == set()
+
+
 @pytest.mark.parametrize("text,want", CASES)
 def test_languages(text, want):
     assert m.languages(text) == want
