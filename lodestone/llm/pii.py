@@ -11,7 +11,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import materialise, ship
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅαοερτυικνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTXIJSaoeptuikvABEZHIKMNOPTYX"))
@@ -133,11 +136,12 @@ def undisguise(m: Mapped, digits: bool) -> Mapped:
 
 
 EMAIL = re.compile(r"(?<![\w.+%-])[^\W_](?:[\w.+%-]*[\w+%-])?@(?=[\w.-]*[A-Za-z])[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w@])(?!:[\w~/])")
+# The first character stands before its look-behind: a scan then jumps from one such character to the next.
 PHONE = re.compile(
-    r"(?<![\w.,:/#+-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{1,8}(?:[ .-]\d{2,8}){0,5}"
-    r"|00[1-9]\d{8,13}|00[1-9]\d{0,2}(?:[ .-]\d{2,5}){2,5}"
-    r"|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
-    r"|\(?0\d{1,4}\)?[ /-]\d{3,8}(?:[ -]\d{2,5}){0,4})(?![\w]|[-.:]\d)"
+    r"[+(\d](?<![\w.,:/#+-].)(?:(?<=\+)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{1,8}(?:[ .-]\d{2,8}){0,5}"
+    r"|(?<=0)0[1-9]\d{8,13}|(?<=0)0[1-9]\d{0,2}(?:[ .-]\d{2,5}){2,5}"
+    r"|(?:(?<=\()\d{3}\)[ .-]?|(?<=\d)\d{2}[ .-])\d{3}[ .-]\d{4}"
+    r"|(?:(?<=\()0|(?<=0))\d{1,4}\)?[ /-]\d{3,8}(?:[ -]\d{2,5}){0,4})(?![\w]|[-.:]\d)", re.S
 )
 SPELLED = re.compile(r"(?<!\w)\d{7,14}(?!\w)")
 _ID = (
@@ -149,7 +153,10 @@ ID_LABELLED = re.compile(
     r"|dni|nie|nif|documento|passport|reisepass|passeport|pasaporte|carte d['’]identit[ée]|personalausweis|id card|num[ée]ro fiscal|insee)"
     r"(?:\s*(?i:no\.?|nr\.?|num(?:ber|mer|éro|ero)|n[º°]|id|:|#|=|-))*\s*(" + _ID + r")(?![\w]|-\d)"
 )
-ID_PLAIN = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w]|-\d)")
+ID_PLAIN = re.compile(
+    r"[\dA-CEGHJ-PR-TW-ZQ](?<![\w.-].)(?:(?<=\d)\d{2}-\d{2}-\d{4}|(?<=[A-CEGHJ-PR-TW-Z])[A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]"
+    r"|(?<=Q)Q ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w]|-\d)", re.S
+)
 _CITY = r",\s+(?:\d{4,5}\s+)?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?"
 ADDRESS = re.compile(
     r"(?<![\w.,/#-])(?:"
@@ -161,6 +168,12 @@ ADDRESS = re.compile(
     r"[A-ZÄÖÜ][\wäöüß-]*(?:str\.|straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|steig) ?\d{1,4} ?[a-z]?" + _CITY + r"|"
     r"(?:[A-ZÄÖÜ][\wäöüß-]* )(?:Straße|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer) \d{1,4} ?[a-z]?" + _CITY + r")"
 )
+# A word by which one of the forms of ADDRESS names a street; C/ is looked for in the text.
+STREET = re.compile(
+    r"(?:Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Close|Terrace|Place|Pl|Square|Sq|Way|Crescent|Gardens|Row|Mews|Parkway|Pkwy|Hill|Walk|Grove)\Z"
+    r"|(?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|square|route)\Z|(?:Calle|Avenida|Avda|Plaza|Paseo|Camino|Carrera|Ronda|Travesía)"
+    r"|.*(?i:str|straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|steig)\Z", re.S
+)
 DIGITY = re.compile(r"\d")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -171,30 +184,39 @@ def fold(word: str) -> str:
     return w if w.isascii() else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
 
 
-BITS = 1 << 22
+# A filter of 32 bits a key and 8 probes takes a word for a key once in 170,000 words.
+PER_KEY, PROBES = 32, 8
+LEAST_BITS, MOST_BITS, BLOCK = 1 << 16, 1 << 30, 1 << 23
 GIVEN, SURNAME, TAIL, GIVEN_TAIL = "g", "s", "t", "u"
 TAIL_SIZE, GIVEN_TAIL_SIZE, TAIL_NAMES = 3, 3, 3
 
 
-def slots(kind: str, key: str) -> list[int]:
+def size_for(keys: int) -> int:
+    """Bits of a filter for so many keys: a power of two between fixed bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (PER_KEY * max(1, keys) - 1).bit_length()))
+
+
+def slots(kind: str, key: str, bits: int) -> list[int]:
     h = xxhash.xxh64_intdigest(f"{kind}:{key}")
-    return [(h + i * (h >> 41 | 1)) % BITS for i in range(4)]
+    step = h >> 33 | 1
+    return [(h + i * step) & (bits - 1) for i in range(PROBES)]
 
 
-DIGIT, LABELS = 16, 32
+DIGIT, LABELS, STREETS, ALONE, PARTICLE = 16, 32, 64, 128, 256
 # A word, or its part behind an apostrophe, that some label in ID_LABELLED begins: compounds as well.
 LABEL_START = re.compile(r"(?<![^\W_])(?i:ssn|social|nino|ni|national|steuer|tax|dni|nie|nif|documento|passport|reisepass|passeport|pasaporte|carte|personalausweis|id|num[ée]ro|insee)")
 
 
 class Kinds(dict):
     """What a word may be part of: 1 given name, 2 surname, 4 ending of surnames, 8 ending of given
-    names, 16 digit word, 32 start of a label of an identity number; 0 none."""
+    names, 16 digit word, 32 start of a label of an identity number, 64 name of a street, 128 a
+    capital alone, 256 particle of a surname; 0 none. ``denied`` keys are in the filter by mistake."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, denied: frozenset = frozenset()):
+        self.bits, self.size, self.denied = bits, 8 * len(bits), denied
 
     def _has(self, kind: str, key: str) -> bool:
-        return all(self.bits[s >> 3] >> (7 - (s & 7)) & 1 for s in slots(kind, key))
+        return all(self.bits[s >> 3] >> (7 - (s & 7)) & 1 for s in slots(kind, key, self.size)) and f"{kind}:{key}" not in self.denied
 
     def __missing__(self, word: str) -> int:
         key, k = fold(word), 0
@@ -203,25 +225,37 @@ class Kinds(dict):
             if word[0].isupper():
                 k += 4 * (len(key) > TAIL_SIZE + 1 and self._has(TAIL, key[-TAIL_SIZE:]))
                 k += 8 * (len(key) > GIVEN_TAIL_SIZE + 1 and self._has(GIVEN_TAIL, key[-GIVEN_TAIL_SIZE:]))
-        k += DIGIT * (word.lower() in DIGIT_WORDS) + LABELS * bool(LABEL_START.search(word))
+        low = word.lower()
+        k += DIGIT * (low in DIGIT_WORDS) + LABELS * bool(LABEL_START.search(word)) + STREETS * bool(STREET.match(word))
+        k += ALONE * (len(word) == 1 and word.isupper()) + PARTICLE * (low in PARTICLES)
         if len(self) < 1_000_000:
             self[word] = k
         return k
 
+    def keys_of(self, words: list[str]) -> list[str]:
+        """The keys of the filter that make these words parts of names."""
+        out = []
+        for word in words:
+            k, key = self[word], fold(word)
+            out += [f"{kind}:{part}" for bit, kind, part in ((1, GIVEN, key), (2, SURNAME, key), (4, TAIL, key[-TAIL_SIZE:]), (8, GIVEN_TAIL, key[-GIVEN_TAIL_SIZE:])) if k & bit]
+        return out
+
 
 class Lexicon:
-    """Names as a Bloom filter of fixed size, whatever the number of names."""
+    """Names as a Bloom filter sized by their number; ``keys`` (driver only) are the names themselves."""
+
+    def __init__(self, bits: np.ndarray, keys: DataFrame | None = None, denied: frozenset = frozenset()):
+        self.bits, self.keys, self.denied = bits, keys, denied
+        self.kinds = Kinds(bits, denied)
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = np.packbits(bits)
-        self.kinds = Kinds(self.bits)
+    def without(self, denied: frozenset) -> Lexicon:
+        return Lexicon(self.bits, self.keys, self.denied | denied)
 
     def __getstate__(self):
-        return {"bits": self.bits}
+        return {"bits": self.bits, "denied": self.denied}
 
     def __setstate__(self, state):
-        self.bits = state["bits"]
-        self.kinds = Kinds(self.bits)
+        self.__init__(state["bits"], None, state["denied"])
 
 
 def _blank(gap: str) -> bool:
@@ -264,15 +298,18 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
 
     found, i = [], 0
     while i < n:
+        if not kinds[i] & (15 | ALONE | PARTICLE):
+            i += 1
+            continue
         end = None
         j = given(i)
         if j is not None and j < n and _blank(gap(j - 1)):
             strict = not toks[i][2][0].isupper()
             end = surname(initials(j), strict)
-        if end is None and i + 1 < n and len(toks[i][2]) == 1 and toks[i][2].isupper() and gap(i) in (". ", "."):
+        if end is None and kinds[i] & ALONE and i + 1 < n and gap(i) in (". ", "."):
             j = initials(i)
             end = surname(j, False) if j > i else None
-        if end is None and (kinds[i] & 6 or toks[i][2].lower() in PARTICLES):
+        if end is None and kinds[i] & (6 | PARTICLE):
             j = surname(i, False)
             if j is not None and j < n:
                 between = gap(j - 1)
@@ -301,36 +338,46 @@ def find(text: str | None, lexicon: Lexicon, whole_name: bool = False) -> list[t
         return []
     m = unveil(text)
     kinds = list(map(lexicon.kinds.__getitem__, WORD.findall(m.text)))
-    seen = set(kinds)
-    spelled = any(k & DIGIT for k in seen) and sum(1 for k in kinds if k & DIGIT) >= 5
+    any_of = reduce(or_, set(kinds), 0)
+    spelled = bool(any_of & DIGIT) and sum(1 for k in kinds if k & DIGIT) >= 5
     m = undisguise(m, spelled)
     t = m.text
-    taken: list[tuple[str, int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for _, x, y in taken)
-
-    def take(kind: str, spans) -> None:
-        for a, b in spans:
-            if free(a, b):
-                taken.append((kind, a, b))
-
+    taken = Spans()
     if "@" in t:
-        take("email", (x.span() for x in EMAIL.finditer(t)))
+        taken.take("email", (x.span() for x in EMAIL.finditer(t)))
     if DIGITY.search(t):
-        take("address", (x.span() for x in ADDRESS.finditer(t)))
-        if any(k & LABELS for k in seen):
-            take("id_number", (x.span(1) for x in ID_LABELLED.finditer(t)))
-        take("id_number", (x.span() for x in ID_PLAIN.finditer(t)))
-        take("phone", (x.span() for x in PHONE.finditer(t) if 8 <= sum(c.isdigit() for c in x[0]) <= 16))
+        if any_of & STREETS or "C/" in t:
+            taken.take("address", (x.span() for x in ADDRESS.finditer(t)))
+        if any_of & LABELS:
+            taken.take("id_number", (x.span(1) for x in ID_LABELLED.finditer(t)))
+        taken.take("id_number", (x.span() for x in ID_PLAIN.finditer(t)))
+        taken.take("phone", (x.span() for x in PHONE.finditer(t) if 8 <= sum(c.isdigit() for c in x[0]) <= 16))
         if spelled:
-            take("phone", (x.span() for x in SPELLED.finditer(t) if m.source(x.end() - 1) - m.source(x.start()) >= 2 * (x.end() - x.start())))
-    if any(k & 6 for k in seen):
-        take("name", names_in(t, lexicon))
-    if whole_name and not any(k == "name" for k, _, _ in taken) and name_pairs(t):
+            taken.take("phone", (x.span() for x in SPELLED.finditer(t) if m.source(x.end() - 1) - m.source(x.start()) >= 2 * (x.end() - x.start())))
+    if any_of & 6:
+        taken.take("name", names_in(t, lexicon))
+    if whole_name and "name" not in taken.kinds and name_pairs(t):
         m2 = PERSON.match(t)
-        take("name", [(len(t) - len(t.lstrip()), m2.end())])
-    return sorted((k, m.source(a), m.source(b) if b < len(t) else len(text)) for k, a, b in taken)
+        taken.take("name", [(len(t) - len(t.lstrip()), m2.end())])
+    return sorted((k, m.source(a), m.source(b) if b < len(t) else len(text)) for a, b, k in zip(taken.starts, taken.ends, taken.kinds))
+
+
+class Spans:
+    """Spans that do not overlap, in order of position; the first one taken stays."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.kinds: list[str] = []
+
+    def take(self, kind: str, spans) -> None:
+        for a, b in spans:
+            i = bisect_left(self.starts, a)
+            if (i and self.ends[i - 1] > a) or (i < len(self.starts) and self.starts[i] < b):
+                continue
+            self.starts.insert(i, a)
+            self.ends.insert(i, b)
+            self.kinds.insert(i, kind)
 
 
 def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
@@ -364,11 +411,10 @@ def name_pairs(name: str | None) -> list[tuple[str, str]]:
     return [(g, s)]
 
 
-def learn_names(people: DataFrame, column: str = "display_name") -> Lexicon:
-    """The names that the display names of all rows show, as a filter of fixed size.
+def name_keys(people: DataFrame, column: str = "display_name") -> DataFrame:
+    """(key) of the given names, surnames and endings that the display names of all rows show.
 
-    An ending counts if ``TAIL_NAMES`` different names have it. What comes to the driver are bit
-    positions, at most ``BITS`` of them.
+    An ending counts if ``TAIL_NAMES`` different names have it.
     """
     ship(people.sparkSession)
 
@@ -379,68 +425,107 @@ def learn_names(people: DataFrame, column: str = "display_name") -> Lexicon:
                 [pa.array([g for g, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string())], names=["g", "s"]
             )
 
-    pairs = people.select(column).filter(F.col(column).isNotNull()).distinct().mapInArrow(parse, "g string, s string").distinct()
-    def endings(part: str, size: int, kind: str) -> DataFrame:
-        names = pairs.select(F.col(part).alias("name")).distinct().filter(F.length("name") > size)
-        tails = names.groupBy(F.expr(f"right(name, {size})").alias("key")).count()
-        return tails.filter(F.col("count") >= TAIL_NAMES).select(F.lit(kind).alias("kind"), "key")
-
-    keys = (
-        pairs.select(F.lit(GIVEN).alias("kind"), F.col("g").alias("key"))
-        .union(pairs.select(F.lit(SURNAME), "s"))
-        .union(endings("s", TAIL_SIZE, TAIL))
-        .union(endings("g", GIVEN_TAIL_SIZE, GIVEN_TAIL))
-        .distinct()
-    )
+    named = people.select(column).filter(F.col(column).isNotNull()).distinct().mapInArrow(parse, "g string, s string")
+    parts = named.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in ((GIVEN, "g"), (SURNAME, "s"))]))).distinct()
+    size = F.when(F.col("kind") == GIVEN, GIVEN_TAIL_SIZE).otherwise(TAIL_SIZE)
+    ending = F.when(F.col("kind") == GIVEN, GIVEN_TAIL).otherwise(TAIL)
+    parts = materialise(parts, "names")
+    tails = parts.filter(F.length("name") > size).groupBy(F.concat_ws(":", ending, F.substring("name", -size, size)).alias("key")).count()
+    return parts.select(F.concat_ws(":", "kind", "name").alias("key")).union(tails.filter(F.col("count") >= TAIL_NAMES).select("key"))
+
+
+def learn_names(people: DataFrame, column: str = "display_name") -> Lexicon:
+    """The names that the display names of all rows show, as a filter sized by their number.
+
+    It is built in blocks where the names are; the driver gets packed blocks, ``MOST_BITS`` bits at
+    most. Beyond ``MOST_BITS`` / ``PER_KEY`` names it errs more often, and :func:`scanned` checks more.
+    """
+    spark = people.sparkSession
+    keys = materialise(name_keys(people, column), "name-keys")
+    bits = size_for(keys.count())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [s for k, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in slots(k, key)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())], names=["bit"])
+            at = np.array([s for key in batch.column(0).to_pylist() for s in slots(key[0], key[2:], bits)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32))], names=["block", "bit"])
 
-    at = keys.mapInArrow(hashed, "bit int").distinct().toArrow().column("bit").to_numpy()
-    bits = np.zeros(BITS, bool)
-    bits[at] = True
-    return Lexicon(bits)
+    def packed(table: pa.Table) -> pa.Table:
+        own = np.zeros(min(BLOCK, bits), bool)
+        own[table.column("bit").to_numpy()] = True
+        return pa.table({"block": table.column("block").slice(0, 1).cast(pa.int32()), "bytes": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
+    out = np.zeros(bits // 8, np.uint8)
+    blocks = keys.mapInArrow(hashed, "block int, bit int").distinct().groupBy("block").applyInArrow(packed, "block int, bytes binary")
+    for row in blocks.toLocalIterator():
+        own = np.frombuffer(row["bytes"], np.uint8)
+        out[row["block"] * (BLOCK // 8) : row["block"] * (BLOCK // 8) + len(own)] = own
+    return Lexicon(out, keys)
 
-def personal_information(comments: DataFrame, key: str = "fetch_id", fields: tuple[str, ...] = ("body", "display_name"), people: str = "display_name") -> DataFrame:
-    """(fetch_id, field_name, pii_type, start_pos), one row per find, positions in code points.
 
-    Repeated rows count once; null and empty texts hold nothing. Texts stay where they are: only
-    the finds are shuffled.
-    """
-    spark = comments.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(learn_names(comments, people))
+def _scan(comments: DataFrame, lexicon: Lexicon, key: str, fields: tuple[str, ...], people: str) -> DataFrame:
+    """(key, field_name, pii_type, start_pos, _keys): each find and the filter's keys that made it."""
+    shared = comments.sparkSession.sparkContext.broadcast(lexicon)  # MOST_BITS at most
     kind = comments.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
+        own = shared.value
         for batch in batches:
-            rows: list[tuple[int, str, str, int]] = []
+            rows: list[tuple] = []
             for n, name in enumerate(fields):
                 for k, text in enumerate(batch.column(n + 1).to_pylist()):
-                    rows.extend((k, name, what, a) for what, a, _ in find(text, lexicon, name == people))
+                    for what, a, b in find(text, own, name == people):
+                        rows.append((k, name, what, a, own.kinds.keys_of(WORD.findall(unveil(text[a:b]).text)) if what == "name" else None))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
-                    pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.string()),
-                    pa.array([r[3] for r in rows], pa.int64()),
-                ],
-                names=[key, "field_name", "pii_type", "start_pos"],
+                [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds))],
+                names=[key, "field_name", "pii_type", "start_pos", "_keys"],
             )
 
-    found = comments.select(key, *fields).mapInArrow(run, f"{key} {kind}, field_name string, pii_type string, start_pos bigint")
-    return found.distinct()
+    return comments.select(key, *fields).mapInArrow(run, f"{key} {kind}, field_name string, pii_type string, start_pos bigint, _keys array<string>")
+
+
+def scanned(comments: DataFrame, lexicon: Lexicon, key: str, fields: tuple[str, ...], people: str) -> tuple[DataFrame, Lexicon]:
+    """All finds, none of which rests on a mistake of the filter, and the lexicon that knows them.
+
+    The few keys that finds rest on are joined to the names themselves. Rows with a find that
+    rests on a wrong key are scanned again without those keys, until there are none.
+    """
+    found, todo = None, comments
+    while True:
+        some = materialise(_scan(todo, lexicon, key, fields, people), "finds")
+        used = some.select(F.explode("_keys").alias("_key")).distinct()
+        wrong = used.join(lexicon.keys.withColumnRenamed("key", "_key"), "_key", "left_anti")
+        bad = frozenset(r[0] for r in wrong.collect())  # mistakes of the filter: a fixed share of the words
+        if not bad:
+            return (some if found is None else found.unionByName(some)), lexicon
+        lexicon = lexicon.without(bad)
+        lost = materialise(some.select(key, F.explode("_keys").alias("_key")).join(wrong, "_key", "left_semi").select(key).distinct(), "finds-again")
+        good = some.join(lost, key, "left_anti")
+        found = good if found is None else found.unionByName(good)
+        todo = todo.join(lost, key, "left_semi")
+
+
+def personal_information(comments: DataFrame, key: str = "fetch_id", fields: tuple[str, ...] = ("body", "display_name"), people: str = "display_name") -> DataFrame:
+    """(fetch_id, field_name, pii_type, start_pos), one row per find, positions in code points.
+
+    Repeated rows count once; null and empty texts hold nothing. Texts stay where they are: only
+    the finds are shuffled.
+    """
+    ship(comments.sparkSession)
+    found, _ = scanned(comments, learn_names(comments, people), key, fields, people)
+    return found.drop("_keys").distinct()
 
 
 def redacted(comments: DataFrame, key: str = "fetch_id", fields: tuple[str, ...] = ("body", "display_name"), people: str = "display_name") -> DataFrame:
-    """The rows with each find replaced by a placeholder of its type; nulls stay null."""
+    """The rows with each find replaced by a placeholder of its type; nulls stay null.
+
+    A first scan tells the filter's mistakes, so that nothing is replaced by mistake.
+    """
     spark = comments.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(learn_names(comments, people))
+    _, lexicon = scanned(comments, learn_names(comments, people), key, fields, people)
+    shared = spark.sparkContext.broadcast(lexicon)  # MOST_BITS at most
     kind = comments.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,3 +72,40 @@ def test_table(spark, rows):
 )
 def test_compound_labels(lexicon, text, want):
     assert find(text, lexicon) == ([("id_number", want)] if want else [])
+
+
+def word(n):
+    """A name of its own for every number, of letters alone."""
+    out = ""
+    while n or len(out) < 4:
+        out, n = "bcdfghjklmnpqrstvwxz"[n % 20] + "aeiou"[n % 5] + out, n // 20
+    return out.capitalize()
+
+
+def test_many_names_keep_their_filter_apart(spark):
+    from pyspark.sql import functions as F
+
+    name = F.udf(lambda n: f"{word(2 * n)} {word(2 * n + 1)}", "string")
+    people = spark.range(100_000).select(name(F.col("id")).alias("display_name"))
+    lexicon = pii.learn_names(people)
+    assert 8 * len(lexicon.bits) == pii.size_for(lexicon.keys.count()) > 6_000_000
+    assert all(lexicon.kinds[word(2 * n)] & 1 and lexicon.kinds[word(2 * n + 1)] & 2 for n in range(0, 100_000, 997))
+    wrong = sum(bool(lexicon.kinds[word(n)] & 3) for n in range(10_000_000, 10_020_000))
+    assert wrong <= 4
+
+
+def test_mistakes_of_the_filter_are_found_and_scanned_again(spark, rows, monkeypatch):
+    monkeypatch.setattr(pii, "LEAST_BITS", 64)
+    monkeypatch.setattr(pii, "PER_KEY", 4)  # a filter that takes many words for names
+    data = [(n, f"{word(n * 7 + 3)} {word(n * 11 + 5)} met Ada Quilver", "Ada Quilver" if n % 2 else "Ben Morrin") for n in range(200)]
+    df = spark.createDataFrame(data, "fetch_id long, body string, display_name string")
+    got = pii.personal_information(df).filter("field_name = 'body'")
+    assert rows(got) == [(n, "body", "name", len(f"{word(n * 7 + 3)} {word(n * 11 + 5)} met ")) for n in sorted(range(200), key=lambda n: str((n, "body")))]
+
+
+def test_many_finds_in_one_text(lexicon):
+    import time
+
+    text = " ".join(f"a{n}@mail.example" for n in range(20_000))
+    began = time.time()
+    assert len(pii.find(text, lexicon)) == 20_000 and time.time() - began < 3
