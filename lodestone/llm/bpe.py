@@ -1,13 +1,17 @@
 """Encoding a corpus with a public byte-level BPE vocabulary.
 
 Merging runs over padded numpy matrices, one word a row, in buckets of similar length. Each round
-every row merges its leftmost pair of minimum rank; ranks are looked up in an open-addressing hash
-table and the matrix is compacted to the left. Only words not met before reach the matrices: a
-worker keeps the ids of the words it has seen.
+every row merges its leftmost pair of minimum rank, and with it the further occurrences of that
+pair, which would be merged next in any case: no pair with a merged symbol ranks before the merge
+that made it (checked when the vocabulary is read; where it does not hold, a round merges the
+leftmost alone). Ranks are looked up in an open-addressing hash table and the matrix is compacted
+to the left. Words of every length take this one path. Only words not met before reach the
+matrices: a worker keeps the ids of the words it has seen.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -23,7 +27,6 @@ from lodestone.session import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 GLUE = re.compile(r" (?=\s|\Z)")
-WIDE = 2048
 CELLS = 1 << 21
 CACHE = 400_000
 CACHE_IDS = 8_000_000
@@ -88,14 +91,19 @@ class Vocabulary:
     """Byte ids, merge table and merged ids. Its size is that of the vocabulary file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        with open(path, "rb") as f:
+            raw = f.read()
+        self.digest = hashlib.sha256(raw).hexdigest()
+        model = json.loads(raw)["model"]
         ids = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.bytes = np.array([ids[s] for s in byte_symbols()], np.int32)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
         self.table = PairTable(np.array([ids[a] for a, _ in pairs]), np.array([ids[b] for _, b in pairs]))
 
+        made = {a + b: n for n, (a, b) in enumerate(pairs)}  # the last merge that makes a symbol
+        self.together = all(max(made.get(a, -1), made.get(b, -1)) < n for n, (a, b) in enumerate(pairs))
+
     def _ranks(self, m: np.ndarray) -> np.ndarray:
         left, right = m[:, :-1], m[:, 1:]
         out = np.full(left.shape, NONE, np.int32)
@@ -103,60 +111,54 @@ class Vocabulary:
         out[real] = self.table.find(left[real], right[real])
         return out
 
+    def _chosen(self, ranks: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Where a round merges: the leftmost pair of minimum rank of each row and, unless the
+        vocabulary forbids it, those of its other occurrences that do not overlap, left to right."""
+        hit = ranks == best[:, None]
+        step = np.arange(hit.shape[1])
+        if not self.together:
+            return step == hit.argmax(1)[:, None]
+        start = np.maximum.accumulate(np.where(hit, 0, step + 1), 1)  # where the run of hits begins
+        return hit & ((step - start) % 2 == 0)
+
     def _merge_matrix(self, m: np.ndarray, owner: np.ndarray, out: list) -> None:
         """Merge rows until none has a pair left; finished rows leave the matrix."""
-        ranks = self._ranks(m)
+        ranks = np.full(m.shape, NONE, np.int32)
+        ranks[:, :-1] = self._ranks(m)
         while len(m):
-            pos = ranks.argmin(1)
-            rows = np.arange(len(m))
-            best = ranks[rows, pos]
+            best = ranks.min(1)
             done = best == NONE
             if done.any():
                 for row, k in zip(m[done], owner[done]):
                     out[k] = row[row >= 0]
                 go = ~done
-                m, ranks, owner, pos, best = m[go], ranks[go], owner[go], pos[go], best[go]
-                rows = np.arange(len(m))
+                m, ranks, owner, best = m[go], ranks[go], owner[go], best[go]
                 if not len(m):
                     return
-            m[rows, pos] = self.merged[best]
-            width = m.shape[1] - 1
-            if width == 1:
-                for row, k in zip(m[:, :1], owner):
-                    out[k] = row
-                return
-            step = np.arange(width)
-            m = np.take_along_axis(m, step + (step > pos[:, None]), 1)
-            step = step[:-1]
-            ranks = np.take_along_axis(ranks, step + (step >= pos[:, None]), 1)
-            for at in (pos - 1, pos):
-                ok = (at >= 0) & (at < width - 1)
-                r, c = rows[ok], at[ok]
-                right = m[r, c + 1]
-                fresh = np.full(len(r), NONE, np.int32)
-                real = right >= 0
-                fresh[real] = self.table.find(m[r[real], c[real]], right[real])
-                ranks[r, c] = fresh
-
-    def _merge_wide(self, w: np.ndarray) -> np.ndarray:
-        """One very long word: all occurrences of its minimum pair in a round, left to right.
-
-        Same result as one occurrence a round, because a pair with a new symbol ranks after the
-        merge that made the symbol.
-        """
-        while len(w) > 1:
-            ranks = self.table.find(w[:-1], w[1:])
-            best = ranks.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(ranks == best)
-            run = np.cumsum(np.diff(at, prepend=-2) > 1)
-            within = np.arange(len(at)) - np.searchsorted(run, run)
-            at = at[within % 2 == 0]
-            w = w.copy()
-            w[at] = self.merged[best]
-            w = np.delete(w, at + 1)
-        return w
+            put = np.zeros(m.shape, bool)
+            put[:, :-1] = self._chosen(ranks[:, :-1], best)
+            rows, pos = np.nonzero(put)
+            m[rows, pos] = self.merged[best[rows]]
+            kept = m >= 0
+            kept[rows, pos + 1] = False
+            sizes = kept.sum(1)
+            width = int(sizes.max())
+            place = np.arange(width) < sizes[:, None]
+            fresh = np.zeros((len(m), width + 1), bool)
+            fresh[:, :-1][place] = put[kept]
+            new = np.full((len(m), width), -1, np.int32)
+            new[place] = m[kept]
+            old = np.full((len(m), width), NONE, np.int32)
+            old[place] = ranks[kept]
+            m, ranks = new, old
+            r, c = np.nonzero(fresh[:, :-1] | fresh[:, 1:])  # a new symbol, or one right of it
+            right = np.full(len(r), -1, np.int32)
+            inner = c + 1 < width
+            right[inner] = m[r[inner], c[inner] + 1]
+            rank = np.full(len(r), NONE, np.int32)
+            real = right >= 0
+            rank[real] = self.table.find(m[r[real], c[real]], right[real])
+            ranks[r, c] = rank
 
     def merge_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word; words are those that the pattern yields."""
@@ -167,10 +169,6 @@ class Vocabulary:
         start = 0
         while start < len(order):
             low = sizes[order[start]]
-            if low > WIDE:
-                for k in order[start:]:
-                    out[k] = self._merge_wide(self.bytes[np.frombuffer(raw[k], np.uint8)])
-                break
             if low < 2:
                 end = int(np.searchsorted(sizes[order], 2))
                 for k in order[start:end]:
@@ -267,14 +265,15 @@ def encode_column(documents: DataFrame, vocabulary_path: str, key: str = "doc_id
     """
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    vocabulary = Vocabulary(vocabulary_path)
+    shared, digest = spark.sparkContext.broadcast(vocabulary), vocabulary.digest
     kind = documents.schema[key].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary_path not in _ENCODERS:
+        if digest not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[vocabulary_path] = Encoder(shared.value)
-        encoder = _ENCODERS[vocabulary_path]
+            _ENCODERS[digest] = Encoder(shared.value)
+        encoder = _ENCODERS[digest]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -1,10 +1,13 @@
 """Reading level of each document.
 
-A Rasch-style latent model: every word has a difficulty and a discrimination on the scale of the
-raters' levels, every stretch of prose (a sentence or list item) a latent location. Estimation
-alternates: locations from the difficulties of the words that occur, then difficulties from the
-levels of the stretches a word occurs in. Both steps run over all partitions; only one row per
-word cell comes back, and the number of cells is fixed.
+A Rasch-style latent model on the raters' scale: every word has a difficulty and a discrimination,
+every stretch of prose (a sentence or list item) a latent location, the mean of the difficulties of
+its words weighted by their discriminations. Levels answer to locations by the rating-scale link:
+the log-odds of two neighbouring levels are ``SLOPE`` times the distance of the location from the
+threshold between them. Estimation alternates over all partitions: person step, the locations and
+the level each stretch of a rated document shows; item step, a Newton step of the difficulties
+towards the greatest likelihood of the ratings. It stops when the likelihood gains no more. One
+row per word cell comes back; the number of cells follows the vocabulary, between fixed bounds.
 """
 
 from __future__ import annotations
@@ -21,25 +24,29 @@ from pyspark.sql import functions as F
 from lodestone.session import materialise, ship
 
 LEVELS = 4
-CELLS = 1 << 18
-SPREAD = 0.35
+SCALE = np.arange(1, LEVELS + 1)
+SLOPE = 8.0
 OWN, OTHER = 0.7, 0.1
+RIDGE = 5.0
+GAIN, MOST_ROUNDS = 2e-4, 30
+LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 20
 MIN_WORDS = 60
-TITLE = 200
 MEMO = 500_000
 FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 NO_PROSE = re.compile(r"https?://\S+|`[^`\n]*`|\([^()\s]*_[^()\s]*\)")
 ITEM = re.compile(r"(?:[-*+•]|\d{1,3}[.)])\s+")
+ENDED = re.compile(r"[.!?:;…][\"'”»)*_|]*$|[。\"')]$")
+WITHIN = re.compile(r"[.!?…][\"'”»)*_]*\s+\S")
 TOKEN = re.compile(r"\w+|[.!?…](?=\s)|\n")
 END, SKIP = -1, -2
 
 
 class Coder(dict):
-    """Word to cell; marks that end a stretch to END, numbers and identifiers to SKIP."""
+    """Word to its hash; marks that end a stretch to END, numbers and identifiers to SKIP."""
 
     def __missing__(self, word: str) -> int:
         if word.isalpha():
-            code = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % CELLS
+            code = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
         else:
             code = SKIP if word[0].isalnum() or word[0] == "_" else END
         if len(self) < MEMO:
@@ -48,7 +55,10 @@ class Coder(dict):
 
 
 def prose(text: str) -> str:
-    """The prose of a text, one paragraph line or list item a line: no titles, no code, no links."""
+    """The prose of a text, one paragraph line or list item a line: no titles, no code, no links.
+
+    A line is prose if it ends a sentence, or holds the end of one; else it is a title.
+    """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
@@ -61,7 +71,7 @@ def prose(text: str) -> str:
         item = ITEM.match(line)
         if item:
             kept.append(line[item.end() :])
-        elif line[-1] in ".!?:;…。\"')" or len(line) >= TITLE:
+        elif ENDED.search(line) or WITHIN.search(line):
             kept.append(line)
     text = "\n".join(kept)
     if "http" in text or "`" in text or "_" in text:
@@ -70,7 +80,7 @@ def prose(text: str) -> str:
 
 
 def code_text(text: str | None, coder: Coder) -> np.ndarray:
-    """Cells of the words with END after every stretch."""
+    """Hashes of the words with END after every stretch."""
     if not text:
         return np.empty(0, np.int32)
     codes = np.fromiter(map(coder.__getitem__, TOKEN.findall(prose(text))), np.int32)
@@ -84,29 +94,56 @@ def code_text(text: str | None, coder: Coder) -> np.ndarray:
     return codes[keep]
 
 
+def answers(at: np.ndarray) -> np.ndarray:
+    """Probability of each level at a location: the rating-scale link."""
+    log = SLOPE * (at[:, None] * SCALE - SCALE**2 / 2)
+    p = np.exp(log - log.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def difficulties(mean: np.ndarray) -> np.ndarray:
+    """The location that makes each mean level the most likely: Newton on the link."""
+    b = mean.copy()
+    for _ in range(20):
+        p = answers(b)
+        mu = p @ SCALE
+        b = np.clip(b + (mean - mu) / (SLOPE * (p @ SCALE**2 - mu**2) + 1e-6), 0, LEVELS + 1)
+    return b
+
+
 class Difficulties:
-    """Difficulty and discrimination of each cell, from its weighted level counts."""
+    """Difficulty and discrimination of each cell; a discrimination of 0: no word was met."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, difficulty: np.ndarray, weight: np.ndarray):
+        self.difficulty, self.weight = difficulty, weight
+        self.mask = len(weight) - 1
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray) -> Difficulties:
+        """From how often words stood in stretches of each level, every level counting alike."""
         total = counts.sum(0)
         even = counts * (total.sum() / LEVELS / np.where(total > 0, total, 1))
         n = even.sum(1)
-        scale = np.arange(1, LEVELS + 1)
-        safe = np.where(n > 0, n, 1)
-        mean = even @ scale / safe
-        spread = np.maximum(even @ scale**2 / safe - mean**2, 0)
-        weight = np.where(n > 0, 1 / (spread + 0.15 + 1 / (1 + n)), 0)
-        self.weight, self.weighted = weight.astype(np.float32), (weight * mean).astype(np.float32)
-
-    def locate(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        half, middle = 0.5, SCALE.mean()
+        mean = (even @ SCALE + half * middle) / (n + half)
+        spread = np.maximum((even @ SCALE**2 + half * (SCALE**2).mean()) / (n + half) - mean**2, 0)
+        met = n > 0
+        difficulty = np.zeros(len(n))
+        difficulty[met] = difficulties(mean[met])
+        return cls(difficulty, np.where(met, 1 / (spread + 0.15 + 1 / (1 + n)), 0))
+
+    def locate(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Location of each stretch and the sum of its discriminations, 0 where no word is known."""
+        cells = words & self.mask
+        weight = self.weight[cells]
+        total = np.add.reduceat(weight, starts)
+        return np.add.reduceat(weight * self.difficulty[cells], starts) / np.where(total > 0, total, 1), total
+
+    def shown(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Level probabilities of each stretch; zeros where no word is known."""
-        num = np.add.reduceat(self.weighted[words], starts)
-        den = np.add.reduceat(self.weight[words], starts)
-        at = num / np.where(den > 0, den, 1)
-        log = -((at[:, None] - np.arange(1, LEVELS + 1)) ** 2) / (2 * SPREAD**2)
-        p = np.exp(log - log.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[den <= 0] = 0
+        at, total = self.locate(words, starts)
+        p = answers(at)
+        p[total <= 0] = 0
         return p
 
 
@@ -151,66 +188,117 @@ def votes(labels: DataFrame, doc_id: str = "doc_id", level: str = "reading_level
     )
 
 
-def word_counts(rows: DataFrame, model: Difficulties | None, labelled: bool) -> np.ndarray:
-    """One half of the alternation over all partitions: level counts of each cell.
+NAMES = [f"v{k}" for k in range(1, LEVELS + 1)]
 
-    ``rows``: doc_id, codes and, if ``labelled``, v1..v4. Without a model the labels alone give
-    the levels; with one, labels only lean the stretches of their document.
-    """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = [f"v{k}" for k in range(1, LEVELS + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((LEVELS, CELLS))
+def _lean(batch: pa.RecordBatch, owner: np.ndarray) -> np.ndarray:
+    """How likely the ratings of its document are at each level of a stretch."""
+    v = np.stack([batch.column(n).fill_null(0).to_numpy().astype(float) for n in NAMES], 1)
+    return (OTHER + (OWN - OTHER) * v / np.maximum(v.sum(1, keepdims=True), 1))[owner]
+
+
+def _over_cells(rows: DataFrame, names: list[str], cells: int, run) -> np.ndarray:
+    """Sums of ``run``'s rows (cell, names...) over all partitions, as a matrix with one row a cell
+    and one more at the end for what belongs to no cell. At most ``MOST_CELLS`` + 1 rows are drawn."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((cells + 1, len(names)))
         for batch in batches:
             words, starts, owner, _ = _stretches(batch.column("codes"))
-            if not len(words):
-                continue
-            p = shared.value.locate(words, starts) if shared.value else np.ones((len(starts), LEVELS))
-            if labelled:
-                v = np.stack([batch.column(n).fill_null(0).to_numpy().astype(float) for n in names], 1)
-                seen = v.sum(1, keepdims=True)
-                lean = OTHER + (OWN - OTHER) * v / np.where(seen > 0, seen, 1)
-                if shared.value is None:
-                    lean = v / np.where(seen > 0, seen, 1)
-                p = p * np.where(seen > 0, lean, 1.0 if shared.value else 0.0)[owner]
-                total = p.sum(1, keepdims=True)
-                p = p / np.where(total > 0, total, 1)
-            each = np.diff(np.append(starts, len(words)))
-            for k in range(LEVELS):
-                sums[k] += np.bincount(words, np.repeat(p[:, k], each), CELLS)
-        used = np.flatnonzero(sums.sum(0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), *[pa.array(sums[k, used]) for k in range(LEVELS)]], names=["cell", *names]
-        )
-
-    schema = "cell int, " + ", ".join(f"{n} double" for n in names)
-    parts = rows.select("codes", *(names if labelled else [])).mapInArrow(run, schema)
-    total = parts.groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most CELLS rows
-    out = np.zeros((CELLS, LEVELS))
-    out[total.column("cell").to_numpy()] = np.stack([total.column(n).to_numpy() for n in names], 1)
+            if len(words):
+                run(batch, words, starts, owner, sums)
+        used = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(sums[used, k]) for k in range(len(names)))], names=["cell", *names])
+
+    sums = rows.mapInArrow(part, "cell int, " + ", ".join(f"{n} double" for n in names)).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros((cells + 1, len(names)))
+    out[sums.column("cell").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names], 1)
     return out
 
 
-def fit(codes: DataFrame, labels: DataFrame, rounds: int = 2, corpus_rounds: int = 1) -> Difficulties:
-    """Alternate over all labelled documents, then over the whole corpus as well.
+def level_counts(rows: DataFrame, cells: int, model: Difficulties | None, rated: bool) -> np.ndarray:
+    """How often each cell's words stand in stretches of each level.
+
+    The levels are those of the ratings, those of the model, or both, each as far as it is given.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    Labelled documents anchor the scale; the corpus rounds carry it to words no rater met. No row
-    is sampled.
+    def run(batch, words, starts, owner, sums):
+        p = shared.value.shown(words, starts) if shared.value else np.ones((len(starts), LEVELS))
+        if rated:
+            p = p * (_lean(batch, owner) if shared.value else np.stack([batch.column(n).fill_null(0).to_numpy() for n in NAMES], 1)[owner])
+        total = p.sum(1, keepdims=True)
+        p = p / np.where(total > 0, total, 1)
+        each = np.diff(np.append(starts, len(words)))
+        for k in range(LEVELS):
+            sums[:-1, k] += np.bincount(words & (cells - 1), np.repeat(p[:, k], each), cells)
+
+    return _over_cells(rows.select("codes", *(NAMES if rated else [])), NAMES, cells, run)[:-1]
+
+
+def item_step(rows: DataFrame, model: Difficulties, prior: np.ndarray) -> tuple[Difficulties, float]:
+    """One alternation over the rated documents: the new difficulties, and the likelihood of the old.
+
+    The likelihood of a stretch is that of its document's ratings, over the levels it may show. A
+    location is a weighted mean of difficulties, so the log-likelihood is bounded below by a sum of
+    terms of one word each (its share of the weight); a Newton step climbs each of them, held near
+    ``prior`` by ``RIDGE``.
+    """
+    cells = len(model.weight)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch, words, starts, owner, sums):
+        own = shared.value
+        at, total = own.locate(words, starts)
+        p = answers(at)
+        joint = p * _lean(batch, owner)
+        like = joint.sum(1)
+        mean = p @ SCALE
+        up = SLOPE * ((joint / like[:, None]) @ SCALE - mean)
+        bend = SLOPE**2 * (p @ SCALE**2 - mean**2)
+        known = total > 0
+        each = np.diff(np.append(starts, len(words)))
+        share = own.weight[words & own.mask] / np.repeat(np.where(known, total, 1), each)
+        for k, x in enumerate((up, bend)):
+            sums[:-1, k] += np.bincount(words & own.mask, share * np.repeat(x, each), cells)
+        sums[-1, 0] += np.log(like[known]).sum()
+        sums[-1, 1] += known.sum()
+
+    sums = _over_cells(rows.select("codes", *NAMES), ["up", "bend"], cells, run)
+    met = model.weight > 0
+    off = np.where(met, model.difficulty - prior, 0)
+    likelihood = (sums[-1, 0] - RIDGE / 2 * (off**2).sum()) / max(1.0, sums[-1, 1])
+    step = np.clip((sums[:-1, 0] - RIDGE * off) / (sums[:-1, 1] + RIDGE), -0.5, 0.5)
+    return Difficulties(np.where(met, model.difficulty + step, 0), model.weight), likelihood
+
+
+def cells_for(codes: DataFrame) -> int:
+    """Cells for a vocabulary: four a word, a power of two, within bounds."""
+    words = codes.select(F.explode("codes").alias("w")).agg(F.approx_count_distinct("w")).first()[0]
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * max(1, words) - 1).bit_length()))
+
+
+def fit(codes: DataFrame, labels: DataFrame, cells: int | None = None) -> Difficulties:
+    """Alternate over all rated documents until the likelihood gains less than ``GAIN`` a stretch.
+
+    Then one pass over the whole corpus gives words that no rated document holds the difficulty of
+    the stretches they stand in. No row is sampled.
     """
-    known = materialise(codes.join(votes(labels), "doc_id"), "p9-labelled")
-    anchor = word_counts(known, None, True)
-    model = Difficulties(anchor)
-    for _ in range(rounds):
-        anchor = word_counts(known, model, True)
-        model = Difficulties(anchor)
-    for _ in range(corpus_rounds):
-        # scaled down: the corpus decides only the cells that labelled documents hardly have
-        rest = word_counts(codes, model, False)
-        weight = min(1.0, anchor.sum(1).max() / max(rest.sum(), 1.0))
-        model = Difficulties(anchor + weight * rest)
-    return model
+    cells = cells or cells_for(codes)
+    known = materialise(codes.join(votes(labels), "doc_id"), "p9-rated")
+    model = Difficulties.of_counts(level_counts(known, cells, None, True))
+    best = Difficulties.of_counts(level_counts(known, cells, model, True))
+    prior, model, reached = best.difficulty, best, -np.inf
+    for _ in range(MOST_ROUNDS):
+        new, likelihood = item_step(known, model, prior)
+        if likelihood > reached:
+            best = model
+        if likelihood < reached + GAIN:
+            break
+        model, reached = new, likelihood
+    rest = Difficulties.of_counts(level_counts(codes, cells, best, False))
+    met = best.weight > 0
+    return Difficulties(np.where(met, best.difficulty, rest.difficulty).astype(np.float32), np.where(met, best.weight, rest.weight).astype(np.float32))
 
 
 def levels(codes: DataFrame, model: Difficulties, min_words: int = MIN_WORDS) -> DataFrame:
@@ -224,7 +312,7 @@ def levels(codes: DataFrame, model: Difficulties, min_words: int = MIN_WORDS) ->
             words, starts, owner, n = _stretches(batch.column("codes"))
             sums = np.zeros((batch.num_rows, LEVELS))
             if len(words):
-                p = shared.value.locate(words, starts)
+                p = shared.value.shown(words, starts)
                 for k in range(LEVELS):
                     sums[:, k] = np.bincount(owner, p[:, k], batch.num_rows)
             rows = np.flatnonzero((n >= min_words) & (sums.sum(1) > 0))

@@ -59,3 +59,42 @@ def test_column(spark):
     assert got == [(1, hello), (1, hello), (2, [])]
     assert bpe.encode_column(df, FILE).filter("doc_id = 3").first()["ids"] is None
     assert bpe.encode_column(df.filter("doc_id > 9"), FILE).count() == 0
+
+
+def test_leftmost_alone_gives_the_same(monkeypatch):
+    texts = ["aaaaaaa banana", "mississippi 1000000 ......", "ababab" * 50, "é" * 99, " \n\n\n x"]
+    assert vocabulary.together
+    monkeypatch.setattr(vocabulary, "together", False)
+    assert ours(texts) == theirs(texts)
+
+
+def test_words_beyond_any_usual_length():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghij"), n)) for n in (2047, 2048, 2049, 30_000)] + ["-" * 50_000, "7" * 9_000]
+    assert ours(texts) == theirs(texts)
+
+
+def test_a_vocabulary_that_forbids_merging_together(tmp_path):
+    import json
+
+    # ab is made by the last merge, yet (ab, c) ranks first
+    vocab = {s: i for i, s in enumerate(bpe.byte_symbols())} | {"abc": 256, "ab": 257}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": ["ab c", "a b"]}}))
+    own = bpe.Vocabulary(str(path))
+    assert not own.together
+    assert own.merge_words(["abcab"])[0].tolist() == [256, 257]
+
+
+def test_a_changed_file_is_read_anew(spark, tmp_path):
+    import json
+    import shutil
+
+    path = tmp_path / "v.json"
+    shutil.copy(FILE, path)
+    df = spark.createDataFrame([(1, "hello")], "doc_id long, text string")
+    first = bpe.encode_column(df, str(path)).first()["ids"]
+    model = json.loads(path.read_text())
+    model["model"]["merges"] = []
+    path.write_text(json.dumps(model))
+    assert bpe.encode_column(df, str(path)).first()["ids"] != first and first == theirs(["hello"])[0]

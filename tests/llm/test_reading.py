@@ -46,3 +46,24 @@ def test_prose():
     assert r.prose(t).split() == "first sentence here. second, see an item without end".split()
     codes = r.code_text("One two. Three 4 a_b!\n\nx", r.Coder())
     assert (codes == r.END).sum() == 2 and len(codes) == 5
+
+
+def test_prose_lines_need_no_length():
+    assert r.prose("fix(x): a title without any end " * 20) == ""
+    assert r.prose("It ends here. And a cut sentence").split() == "it ends here. and a cut sentence".split()
+    assert r.prose("It ends **here.**") != "" and r.prose("« It ends. »") != ""
+
+
+def test_likelihood_never_falls(spark):
+    rng = random.Random(8)
+    d = spark.createDataFrame([(n, text(rng, n % 4)) for n in range(120)], "doc_id long, text string")
+    l = spark.createDataFrame([(n, 1 + n % 4, "r1") for n in range(0, 120)], "doc_id long, reading_level int, rater string")
+    codes = r.coded(d)
+    known = codes.join(r.votes(l), "doc_id").cache()
+    cells = r.cells_for(codes)
+    model = r.Difficulties.of_counts(r.level_counts(known, cells, None, True))
+    prior, seen = model.difficulty, []
+    for _ in range(6):
+        model, likelihood = r.item_step(known, model, prior)
+        seen.append(likelihood)
+    assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0]
