@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import materialise, ship
 
 N = 10
 BLOCK_WORDS = 2_000_000
@@ -83,22 +83,23 @@ class GramSet:
         return found
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, n: int = N) -> list[GramSet]:
-    """Gram sets of at most ``BLOCK_WORDS`` words each.
+def item_blocks(items: DataFrame, item_id: str, text: str, n: int = N) -> Iterator[GramSet]:
+    """Gram sets of at most ``BLOCK_WORDS`` words each, one at a time.
 
     Held-out sets are tables of fixed size. A larger one is cut into blocks, each within the
     bound, and the corpus is held against them one after the other.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
+    block: list[tuple[int, str]] = []
     room = BLOCK_WORDS
     for row in items.select(item_id, text).filter(F.col(text).isNotNull()).distinct().toLocalIterator():
         size = len(words_of(row[1]))
-        if size > room and blocks[-1]:
-            blocks.append([])
-            room = BLOCK_WORDS
-        blocks[-1].append((row[0], row[1]))
+        if size > room and block:
+            yield GramSet(block, n)
+            block, room = [], BLOCK_WORDS
+        block.append((row[0], row[1]))
         room -= size
-    return [GramSet(b, n) for b in blocks if b]
+    if block:
+        yield GramSet(block, n)
 
 
 def leaks(
@@ -107,17 +108,23 @@ def leaks(
     """(doc_id, item_id) of every document that shares at least ``n`` consecutive words with an item.
 
     Null and empty texts and items of fewer than ``n`` words share nothing. One row per pair,
-    whatever repeats; the scan needs no shuffle, only its few hits are made distinct.
+    whatever repeats; the scan needs no shuffle, only its few hits are made distinct. With several
+    blocks of items the hits of each are written before the next is sent out.
     """
     spark = documents.sparkSession
     ship(spark)
     kinds = [documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}"
-    out = None
+    texts = documents.select(doc_id, text).filter(F.col(text) != "")
+    out: list[DataFrame] = []
+    shared = None
     for block in item_blocks(items, item_id, text, n):
-        grams = spark.sparkContext.broadcast(block)
+        if shared is not None:
+            out[-1] = materialise(out[-1], "leaks")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_WORDS words
 
-        def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], grams=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hits = grams.value.scan(batch.column(1).to_pylist())
                 pairs = [(k, i) for k, found in enumerate(hits) for i in dict.fromkeys(i for _, i in found)]
@@ -127,11 +134,13 @@ def leaks(
                     names=["doc_id", "item_id"],
                 )
 
-        part = documents.select(doc_id, text).filter(F.col(text) != "").mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        out.append(texts.mapInArrow(scan, schema))
+    if not out:
         return spark.createDataFrame([], schema)
-    return out.distinct()
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found.distinct()
 
 
 def cut_spans(text: str, firsts: list[int], n: int = N) -> str:
@@ -151,24 +160,37 @@ def without_leaks(
 ) -> DataFrame:
     """Documents with leaked stretches cut out: (doc_id, text, cut), cut in code points.
 
-    Documents without leaks pass unchanged with cut 0; a null text stays null.
+    Documents without leaks pass unchanged with cut 0; a null text stays null. Blocks of items go
+    over the corpus one after the other; only between blocks are texts written.
     """
     spark = documents.sparkSession
     ship(spark)
     kind = documents.schema[doc_id].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(item_blocks(items, item_id, text, n))
+    schema = f"doc_id {kind}, text string, firsts array<int>"
+    none = F.array().cast("array<int>")
+    marked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), none.alias("firsts"))
+    shared = None
+    for block in item_blocks(items, item_id, text, n):
+        if shared is not None:
+            marked = materialise(marked, "leaks-marked")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_WORDS words
+
+        def mark(batches: Iterator[pa.RecordBatch], grams=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = grams.value.scan(batch.column(1).to_pylist())
+                firsts = [old + [i for i, _ in found] for old, found in zip(batch.column(2).to_pylist(), hits)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(firsts, pa.list_(pa.int32()))], names=["doc_id", "text", "firsts"])
+
+        marked = marked.mapInArrow(mark, schema)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            firsts: list[list[int]] = [[] for _ in texts]
-            for grams in shared.value:
-                for k, found in enumerate(grams.scan(texts)):
-                    firsts[k].extend(i for i, _ in found)
-            new = [cut_spans(t, f, n) if f else t for t, f in zip(texts, firsts)]
+            new = [cut_spans(t, f, n) if f else t for t, f in zip(texts, batch.column(2).to_pylist())]
             cut = [len(t) - len(x) if t else 0 for t, x in zip(texts, new)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(new, pa.string()), pa.array(cut, pa.int64())], names=["doc_id", "text", "cut"]
             )
 
-    return documents.select(doc_id, text).mapInArrow(clean, f"doc_id {kind}, text string, cut bigint")
+    return marked.mapInArrow(clean, f"doc_id {kind}, text string, cut bigint")

@@ -29,7 +29,8 @@ def test_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(leakage, "BLOCK_WORDS", bound)
         got = [tuple(r) for r in leakage.leaks(d, i).collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    cleaned = {r["doc_id"]: r for r in leakage.without_leaks(d, i).collect()}
+        cleaned = {r["doc_id"]: r for r in leakage.without_leaks(d, i).collect()}
+        assert {k: r["text"] for k, r in cleaned.items()} == (first := locals().get("first") or {k: r["text"] for k, r in cleaned.items()})
     assert {k for k, r in cleaned.items() if r["cut"]} == {a for a, _ in want}
     assert cleaned[900]["text"] is None and cleaned[901]["text"] == ""
     assert all(len(r["text"]) + r["cut"] == len(dict(docs)[k]) for k, r in cleaned.items() if r["text"] is not None)
