@@ -27,7 +27,7 @@ LEVELS = 4
 SCALE = np.arange(1, LEVELS + 1)
 SLOPE = 8.0
 OWN, OTHER = 0.7, 0.1
-RIDGE = 5.0
+RIDGE = 1.0
 GAIN, MOST_ROUNDS = 2e-4, 30
 LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 20
 MIN_WORDS = 60
