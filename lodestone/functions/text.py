@@ -96,8 +96,9 @@ def lexical_scores(docs: DataFrame, task: list[str], key: str, weighted: dict[st
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     wanted = F.array(*map(F.lit, task))
     # a term is the beginning of its word, so only texts that contain one are cut into terms
-    holds = lambda c: reduce(lambda a, b: a | b, [F.contains(ascii_lower(F.col(c)), F.lit(t)) for t in task])
-    cols = docs.select(key, *[terms(F.when(holds(c), F.col(c)).otherwise("")).alias(f"_{c}") for c in weighted])
+    holds = lambda c: reduce(lambda a, b: a | b, [F.contains(F.col(f"_low_{c}"), F.lit(t)) for t in task])
+    low = docs.select(key, *weighted, *[ascii_lower(F.col(c)).alias(f"_low_{c}") for c in weighted])  # once, for all terms
+    cols = low.select(key, *[terms(F.when(holds(c), F.col(c)).otherwise("")).alias(f"_{c}") for c in weighted])
     hit = cols.select(key, *[f"_{c}" for c in weighted], F.explode(wanted).alias("term"))
     weight = F.lit(None).cast("int")
     for c, w in reversed(list(weighted.items())):

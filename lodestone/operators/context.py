@@ -93,9 +93,13 @@ def context_pack(graph: Graph, task: list[str], budget: int = BUDGET, task_token
     last = (F.col("kind") == "file").cast("int")
     order = [last, F.col("p"), F.col("score").desc(), F.col("distance"), F.col("stable_key")]
     limit = budget - (budget // 5 if budget >= 100 else 0)
-    items = items.withColumn("first", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
-    items = items.withColumn("same", F.row_number().over(Window.partitionBy("tokens").orderBy(*order)))
-    few = items.filter(((F.col("kind") == "invariant") | (F.col("first") == 1)) & (F.col("first") <= limit) | (F.col("same") * F.col("tokens") <= limit))
+    items = materialise(items, "items")
+    # both limits are ranks that Spark applies before the shuffle, so no kind or size meets whole
+    first = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
+    cut = items.withColumn("n", first).filter((F.col("n") <= limit) & ((F.col("kind") == "invariant") | (F.col("n") == 1))).drop("n")
+    same = F.row_number().over(Window.partitionBy("tokens").orderBy(*order))
+    fits = items.withColumn("n", same).filter((F.col("n") <= limit) & (F.col("n") * F.col("tokens") <= limit)).drop("n")
+    few = cut.unionByName(fits).distinct()
     used, taken, described, first = min(task_tokens, budget), [], set(), True
     for r in few.orderBy(*order).toLocalIterator():
         if r["kind"] == "file" and r["identifier"] in described:

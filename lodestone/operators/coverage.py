@@ -35,7 +35,7 @@ def downstream(graph: Graph) -> DataFrame:
 def entry_reach(graph: Graph) -> DataFrame:
     """(key, entries): exposing symbols that lead to each symbol within four calls, at most 3."""
     entries = graph.edges.filter("kind = 'exposes' and status = 'active'").select(F.col("src").alias("key")).distinct()
-    reach = call_reach(graph, ENTRY_LEVELS).filter("key <> other").join(entries, "key")
+    reach = call_reach(graph, ENTRY_LEVELS, entries).filter("key <> other")
     return reach.groupBy(F.col("other").alias("key")).agg(F.least(F.lit(ENTRY_CAP), F.countDistinct("key")).alias("entries"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.model import EXPANDING, HOPS, SEMANTIC, STRUCTURAL, WEAK_BP, bucket
-from lodestone.session import materialise
+from lodestone.operators.skew import HOT_FLOOR, hot_keys, salted_join
+from lodestone.session import materialise, observed
 from lodestone.sources.graph import Graph
 
 ROUNDS = 200
@@ -52,23 +53,26 @@ def semantic_reach(graph: Graph, roots: DataFrame, seeds: DataFrame, hops: int =
     edges = both_ways(
         graph.edges.filter(F.col("kind").isin(*SEMANTIC) & (F.col("status") != "rejected")).select("src", "dst", "status", "claim_class", "confidence_bp")
     ).withColumnRenamed("here", "key")
-    kinds = graph.nodes.select(F.col("stable_key").alias("key"), F.col("kind").alias("node_kind"), "is_test")
+    kinds = graph.nodes.select(F.col("stable_key").alias("key"), F.col("kind").isin(*EXPANDING).alias("leads"), "is_test")
+    guess, stale = F.col("claim_class") == "inference", F.col("status") == "stale"
+    # what a hop asks of a claim and of the node it starts from, joined once for all hops
+    sound = edges.filter(stale | ~guess | (F.col("confidence_bp") >= WEAK_BP)).join(kinds, "key")
+    sound, heavy = observed(sound.select("key", "there", guess.alias("guess"), stale.alias("stale"), "leads", "is_test"), "claims", rows=F.count(F.lit(1)))
+    hot = hot_keys(sound.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "n") if heavy["rows"] >= HOT_FLOOR else []
     seen = roots.withColumn("inferred", F.lit(False))
     frontier = seen.join(seeds.select("seed", "key", F.lit(True).alias("is_seed")), ["seed", "key"], "left")
     reached = roots
     for depth in range(hops):
-        may = ~F.col("is_test") | F.coalesce("is_seed", F.lit(False))
-        if depth:
-            may = ~F.col("is_test") & F.col("node_kind").isin(*EXPANDING)
-        step = frontier.join(kinds, "key").filter(may).select("seed", "key", "inferred").join(edges, "key")
-        guess = F.col("claim_class") == "inference"
-        stale = F.col("status") == "stale"
-        ok = stale | ~guess | (~F.col("inferred") & (F.col("confidence_bp") >= WEAK_BP))
-        step = materialise(step.filter(ok).select("seed", F.col("there").alias("key"), (F.col("inferred") | guess).alias("inferred"), stale.alias("stale")).distinct(), f"step-{depth}")
-        reached = reached.unionByName(step.select("seed", "key"))
+        may = ~F.col("is_test") & F.col("leads") if depth else ~F.col("is_test") | F.coalesce("is_seed", F.lit(False))
+        step = salted_join(sound, frontier, "key", F.col("there"), hot, "inner")
+        step = step.filter(may & (F.col("stale") | ~F.col("guess") | ~F.col("inferred")))
+        step = step.select("seed", F.col("there").alias("key"), (F.col("inferred") | F.col("guess")).alias("inferred"), "stale").distinct()
         if depth + 1 == hops:
+            reached = reached.unionByName(step.select("seed", "key"))
             break
-        frontier = materialise(step.filter(~F.col("stale")).select("seed", "key", "inferred").distinct().join(seen, ["seed", "key", "inferred"], "left_anti"), f"hop-{depth}")
+        step = materialise(step, f"step-{depth}")
+        reached = reached.unionByName(step.select("seed", "key"))
+        frontier = step.filter("not stale").select("seed", "key", "inferred").join(seen, ["seed", "key", "inferred"], "left_anti")
         seen = seen.unionByName(frontier)
         frontier = frontier.withColumn("is_seed", F.lit(False))
     return reached.distinct()
@@ -98,7 +102,7 @@ def impact(graph: Graph, seeds: DataFrame) -> DataFrame:
     semantic ones, then each node into its part of the report. Keys without a node are left out.
     """
     graph = settled(graph)
-    seeds = materialise(seeds.select("seed", "key"), "seeds")
+    seeds = seeds.select("seed", "key")
     reached = semantic_reach(graph, materialise(structural_hop(graph, seeds), "roots"), seeds)
     nodes = graph.nodes.select("stable_key", "identifier", bucket(F.col("kind"), F.col("is_test")).alias("bucket"))
     return (
@@ -113,15 +117,16 @@ def distances(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     A driver loop of frontier joins; each round is written to the shared folder, so the plan
     stays flat and a lost executor costs one round. Raises if ROUNDS are not enough.
     """
-    around = materialise(both_ways(edges.select("src", "dst")).select("here", "there").distinct(), "around")
+    around, size = observed(both_ways(edges.select("src", "dst")).select(F.col("here").alias("key"), "there").distinct(), "around", rows=F.count(F.lit(1)))
+    hot = hot_keys(around.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "n") if size["rows"] >= HOT_FLOOR else []
     frontier = materialise(seeds.select("key").distinct().withColumn("depth", F.lit(0)), "depth-0")
     found = frontier
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(around, frontier["key"] == around["here"]).select(F.col("there").alias("key")).distinct()
-        frontier = materialise(step.join(found.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth)), f"depth-{depth}")
-        if frontier.isEmpty():
+        step = salted_join(around, frontier.select("key"), "key", F.col("there"), hot, "inner").select(F.col("there").alias("key")).distinct()
+        frontier, new = observed(step.join(found.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth)), f"depth-{depth}", rows=F.count(F.lit(1)))
+        if not new["rows"]:
             break
         if depth > ROUNDS:
             raise RuntimeError(f"nodes lie more than {ROUNDS} edges from every seed")
@@ -141,15 +146,22 @@ def callers(graph: Graph) -> DataFrame:
     return graph.edges.filter((F.col("kind") == "calls") & (F.col("status") == "active")).select(F.col("dst").alias("callee"), F.col("src").alias("caller")).distinct()
 
 
-def call_reach(graph: Graph, levels: int) -> DataFrame:
-    """(key, other, depth): symbols reached over active calls within ``levels`` calls, least depth."""
-    calls = callers(graph).select(F.col("caller").alias("a"), F.col("callee").alias("b"))
-    level = calls.select(F.col("a").alias("key"), F.col("b").alias("other"), F.lit(1).alias("depth"))
-    out = level
+def call_reach(graph: Graph, levels: int, starts: DataFrame | None = None) -> DataFrame:
+    """(key, other, depth): symbols reached over active calls within ``levels`` calls, least depth.
+
+    Only from ``starts`` (key), where given. Each level is written and holds no pair of an earlier
+    one, so cycles are not walked again.
+    """
+    calls = materialise(callers(graph).select(F.col("caller").alias("a"), F.col("callee").alias("b")), "calls")
+    level = calls.select(F.col("a").alias("key"), F.col("b").alias("other"))
+    if starts is not None:
+        level = level.join(starts.select("key").distinct(), "key", "left_semi")
+    level = out = level.withColumn("depth", F.lit(1))
     for d in range(2, levels + 1):
-        level = level.join(calls, level["other"] == calls["a"]).select("key", F.col("b").alias("other")).distinct().withColumn("depth", F.lit(d))
+        step = level.join(calls, level["other"] == calls["a"]).select("key", F.col("b").alias("other")).distinct()
+        level = materialise(step.join(out.select("key", "other"), ["key", "other"], "left_anti").withColumn("depth", F.lit(d)), f"reach-{d}")
         out = out.unionByName(level)
-    return out.groupBy("key", "other").agg(F.min("depth").alias("depth"))
+    return out
 
 
 def claims_of(graph: Graph) -> DataFrame:
@@ -168,22 +180,31 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """(key, root): connected components by least key, over undirected pairs.
 
     Alternates large-star and small-star contractions: the number of rounds grows with the
-    logarithm of the diameter, every round is a groupBy over edges and is written to the shared
-    folder.
+    logarithm of the diameter. Every round is written to the shared folder, and whether it changed
+    anything is seen while it is written. Hubs are dealt out over salts. Raises if ROUNDS are not
+    enough.
     """
-    edges = materialise(pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct(), "star-0")
+    sums = {"rows": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    edges, before = observed(pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct(), "star-0", **sums)
     for n in range(ROUNDS):
-        before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         around = edges.select("u", "v").union(edges.select("v", "u"))
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _contracted(around, F.least(F.min("v"), F.col("u")), before["rows"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u <> v").distinct(), f"large-{n}")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u <> v").distinct(), f"small-{n}")
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = _contracted(down, F.min("v"), before["rows"])
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        edges, after = observed(small.filter("u <> v").distinct(), f"small-{n}", **sums)
         if before == after:
             break
+        before = after
+    else:
+        raise RuntimeError(f"{ROUNDS} rounds left components unmerged")
     roots = edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
     return roots.union(edges.select("v", "v")).groupBy("key").agg(F.min("root").alias("root"))
+
+
+def _contracted(edges: DataFrame, least, rows: int) -> DataFrame:
+    """(u, v, m): each edge with the least key around its ``u``."""
+    low = edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(low, "u", "n") if rows >= HOT_FLOOR else []
+    return salted_join(edges, low.select("u", "m"), "u", F.col("v"), hot, "inner")

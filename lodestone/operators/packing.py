@@ -18,7 +18,7 @@ def pack(items: DataFrame, group: str, size: str, order: list, item: str, budget
     """
     real = items.filter((F.col(size) > 0) & (F.col(size) <= budget))
     by_size = Window.partitionBy(group, size).orderBy(*order)
-    few = real.withColumn("_n", F.row_number().over(by_size)).filter(F.col("_n") * F.col(size) <= budget)
+    few = real.withColumn("_n", F.row_number().over(by_size)).filter((F.col("_n") <= budget) & (F.col("_n") * F.col(size) <= budget))  # the first test is one Spark applies before the shuffle
     ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     lists = ranked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_rank", F.col(size).cast("long").alias("size"), F.col(item).alias("item")))).alias("all"))
     start = F.struct(F.lit(budget).cast("long").alias("room"), F.filter("all", lambda x: F.lit(False)).alias("taken"))

@@ -39,7 +39,8 @@ class Tracer:
     def _one(self, df: DataFrame, **where) -> list:
         for column, value in where.items():
             df = df.filter(F.col(column) == value)
-        return df.distinct().limit(NODES + BRANCHES + 2).collect()  # more cannot be spent
+        rows = df.distinct()
+        return rows.orderBy(*rows.columns).limit(NODES + BRANCHES + 2).collect()  # the least ones; more cannot be spent
 
     def trace(self, service: str, key: str, budget: Budget | None = None) -> DataFrame:
         """Rows in the order of the walk; ``stopped`` names why one leads no further."""

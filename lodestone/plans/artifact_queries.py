@@ -104,7 +104,8 @@ def semantic_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def short_references(spark: SparkSession, d: str) -> DataFrame:
     """Issue and merge request numbers in the newest comment versions, by kind."""
-    rows = read(spark, d, "jira_comments").select("comment_id", F.inline(text.references(F.col("body")))).distinct()
+    rows = read(spark, d, "jira_comments").select("comment_id", "fetch_id", instant(F.coalesce("updated", "created")).alias("at"), text.references(F.col("body")).alias("refs"))
+    rows = artifacts.latest(rows, "comment_id", ["at", "fetch_id"]).select("comment_id", F.inline("refs")).distinct()
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("refs"), F.countDistinct("value").alias("values"))
 
 
@@ -151,7 +152,8 @@ ORACLE = {
     "evidence_commits": """WITH d AS (SELECT edge_id, any_value(evidence) AS evidence FROM edges WHERE valid_to IS NULL GROUP BY edge_id), ev AS (SELECT unnest(evidence) AS x FROM d)
  SELECT x.source_kind AS source_kind, count(*) AS rows, count(DISTINCT x.commit) AS commits, round(avg(x.strength), 6) AS mean, min(x.strength) AS least FROM ev GROUP BY 1""",
     "semantic_pairs": f"WITH {GRAPH} SELECT dst, kind, count(DISTINCT src) AS symbols, count(*) FILTER (status = 'active') AS active FROM e WHERE kind IN ('implements','enforces','satisfies','covered_by','depends_on') GROUP BY dst, kind",
-    "short_references": f"SELECT kind, count(*) AS refs, count(DISTINCT value) AS \"values\" FROM ({_refs('jira_comments', 'comment_id', 'body')}) GROUP BY kind",
+    "short_references": f"""WITH newest AS (SELECT comment_id, body FROM jira_comments QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY {_AT} DESC NULLS LAST, fetch_id DESC) = 1)
+ SELECT kind, count(*) AS refs, count(DISTINCT value) AS "values" FROM ({_refs('newest', 'comment_id', 'body')}) GROUP BY kind""",
     "link_score": f"""WITH {GRAPH}, {_IT}, sy AS (SELECT stable_key AS symbol, file_path, list_filter({_words("concat_ws(' ', identifier, name, signature)", 3)}, lambda w: NOT list_contains(['the','and','for','with','that','this','from','must','shall','should','are'], w)) AS ts
  FROM n WHERE kind = 'code_symbol' AND NOT is_test),
  vf AS (SELECT DISTINCT src AS known, dst AS intent FROM e WHERE claim_class = 'assertion' AND status = 'active' AND kind IN ('implements','enforces','satisfies','depends_on')),
@@ -161,8 +163,8 @@ ORACLE = {
  te AS (SELECT DISTINCT x.src AS intent, ca.here AS symbol FROM e x JOIN n ON n.stable_key = x.dst AND n.is_test JOIN ca ON ca.there = x.dst WHERE x.kind = 'covered_by'),
  ac AS (SELECT DISTINCT src, dst, kind FROM e WHERE kind IN ('reads_from','writes_to') AND status = 'active'),
  da AS (SELECT vf.intent, b.src AS symbol, max(CASE WHEN a.kind = b.kind THEN 10 ELSE 6 END) AS d FROM vf JOIN ac a ON a.src = vf.known JOIN ac b ON b.dst = a.dst GROUP BY 1, 2),
- sc AS (SELECT st.symbol, st.intent, CASE it.kind WHEN 'invariant' THEN 'enforces' WHEN 'decision' THEN 'satisfies' ELSE 'implements' END AS relation, least(len(list_intersect(ts, it.t)), 4) * 875 AS lexical, s * 300 AS structural,
- CASE WHEN te.symbol IS NULL THEN 0 ELSE 1500 END AS test, coalesce(d, 0) * 100 AS data, 0 AS artifact FROM st JOIN sy USING (symbol) JOIN it ON it.stable_key = st.intent LEFT JOIN te ON te.intent = st.intent AND te.symbol = st.symbol
- LEFT JOIN da ON da.intent = st.intent AND da.symbol = st.symbol WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = st.symbol AND dst = st.intent))
+ sc AS (SELECT sy.symbol, it.stable_key AS intent, CASE it.kind WHEN 'invariant' THEN 'enforces' WHEN 'decision' THEN 'satisfies' ELSE 'implements' END AS relation, least(len(list_intersect(ts, it.t)), 4) * 875 AS lexical, coalesce(st.s, 0) * 300 AS structural,
+ CASE WHEN te.symbol IS NULL THEN 0 ELSE 1500 END AS test, coalesce(d, 0) * 100 AS data, 0 AS artifact FROM sy CROSS JOIN it LEFT JOIN st ON st.intent = it.stable_key AND st.symbol = sy.symbol LEFT JOIN te ON te.intent = it.stable_key AND te.symbol = sy.symbol
+ LEFT JOIN da ON da.intent = it.stable_key AND da.symbol = sy.symbol WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = sy.symbol AND dst = it.stable_key))
  SELECT *, lexical + structural + test + data AS score FROM sc WHERE lexical + structural + test + data >= 3000""",
 }

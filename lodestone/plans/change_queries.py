@@ -121,7 +121,10 @@ def api_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Kind of change between consecutive versions of each symbol."""
+    """Kind of change between consecutive versions of each symbol.
+
+    The node table keeps one hash of the body, so changes of layout alone count as changes of it.
+    """
     v = read(spark, d, "nodes").filter("kind = 'code_symbol'").select(
         F.trim("stable_key").alias("k"), "identifier", "signature", "content_hash", "created_commit"
     ).distinct()

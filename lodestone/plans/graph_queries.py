@@ -77,7 +77,7 @@ def reachable_entries(spark: SparkSession, d: str) -> DataFrame:
     """How many exposing symbols reach each symbol within four calls, at most 3 counted."""
     graph = load(spark, d)
     entries = graph.edges.filter((F.col("kind") == "exposes") & (F.col("status") == "active")).select(F.col("src").alias("key")).distinct()
-    reach = g.call_reach(graph, 4).join(entries, "key").filter(F.col("key") != F.col("other"))
+    reach = g.call_reach(graph, 4, entries).filter(F.col("key") != F.col("other"))
     return reach.groupBy("other").agg(F.least(F.lit(3), F.countDistinct("key")).alias("entries"))
 
 
@@ -332,7 +332,8 @@ _BODY = {
  rest AS (SELECT * FROM w WHERE query NOT IN (SELECT query FROM exact))
  SELECT * FROM exact UNION ALL SELECT DISTINCT query, stable_key FROM rest JOIN n ON ends_with(identifier, '.' || query)""",
     "related_tests": _bfs("kind = 'event'", f"status = 'active' AND kind IN {_T}", 3) + " SELECT stable_key, identifier, depth FROM dist JOIN n ON stable_key = key WHERE depth > 0 AND is_test",
-    "min_depth": _bfs("kind = 'domain_concept'", "true", 6) + " SELECT key, depth FROM dist",
+    "min_depth": """, dist(key, depth) USING KEY (key) AS (SELECT stable_key, 0 FROM n WHERE kind = 'domain_concept'
+ UNION SELECT there, min(d.depth) + 1 FROM dist d JOIN around ON here = d.key LEFT JOIN recurring.dist r ON r.key = there WHERE r.key IS NULL GROUP BY there) SELECT key, depth FROM dist""",
     "callers_of": f", {_CALLS} SELECT b AS callee, count(DISTINCT a) AS callers FROM calls GROUP BY b",
     "reachable_entries": f""", {_CALLS}, r1 AS (SELECT a, b FROM calls), r2 AS (SELECT DISTINCT r1.a, c.b FROM r1 JOIN calls c ON r1.b = c.a),
  r3 AS (SELECT DISTINCT r2.a, c.b FROM r2 JOIN calls c ON r2.b = c.a), r4 AS (SELECT DISTINCT r3.a, c.b FROM r3 JOIN calls c ON r3.b = c.a),

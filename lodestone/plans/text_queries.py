@@ -222,6 +222,10 @@ ORACLE = {
     "path_templates": r"""SELECT call_id, CASE WHEN url ~ '^[A-Za-z][A-Za-z0-9+.-]*://.*' AND p = '' THEN '/' WHEN starts_with(p, '/') THEN p END AS template FROM (SELECT DISTINCT call_id, url,
  regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/\{[^/]*\}', '/{param}', 'g') AS p FROM external_calls)""",
     "token_estimates": "SELECT source, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY source",
+    "token_budget": """WITH RECURSIVE o AS (SELECT source, doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY updated_at DESC NULLS LAST, doc_id) AS k
+ FROM documents WHERE length(text) BETWEEN 1 AND 16000), walk AS (SELECT source, 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS tokens, false AS taken, 4000::BIGINT AS room FROM (SELECT DISTINCT source FROM o)
+ UNION ALL SELECT o.source, o.k, o.doc_id, o.tokens, o.tokens <= w.room, w.room - CASE WHEN o.tokens <= w.room THEN o.tokens ELSE 0 END FROM walk w JOIN o ON o.source = w.source AND o.k = w.k + 1)
+ SELECT source, doc_id, tokens FROM walk WHERE taken""",
     "derived_titles": r"""WITH l AS (SELECT doc_id, trim(string_split(trim(text, ' '), chr(10))[1], ' ') AS line FROM documents WHERE text IS NOT NULL),
  t AS (SELECT doc_id, CASE WHEN regexp_extract(line, '^(.*?[.!?])(?:\s|$)', 1) <> '' THEN regexp_extract(line, '^(.*?[.!?])(?:\s|$)', 1) ELSE line END AS title FROM l)
  SELECT doc_id, CASE WHEN length(title) > 80 THEN title[:80] || '…' ELSE title END AS title FROM t""",

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,11 +17,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent (tests,
-    one-machine runs) is a folder of our own made and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``; without that setting it raises there. Only a
+    local master, whose executors are this process, gets a folder of our own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -42,6 +44,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """As :func:`materialise`, with aggregates taken while the rows are written."""
+    seen = Observation(name)
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in values.items()]), name)
+    return out, seen.get
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that was written so far; frames that read them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lodestone")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class FileStore:
     """Small files in the shared folder through Hadoop's file system API."""
 
