@@ -91,14 +91,15 @@ def bitemporal_ledger(asserted: DataFrame, split: bool = True, hot_floor: int =
     """
     hot = _hot(asserted, hot_floor)
     day = F.coalesce(F.floor(F.unix_micros(F.col("recorded_at").cast("timestamp")) / DAY), F.lit(-(1 << 40)))
-    bucket = (F.when(F.col("fingerprint").isin(hot), day) if hot else F.lit(None)).cast("long")
     if split:
         parts = _stretches(asserted.distinct(), hot)
     else:
         parts = asserted.select("*", F.col("valid_from").alias("lo"), F.col("valid_to").alias("hi"))
-    keys = ["fingerprint", "lo", "bucket"]
+    keys = ["fingerprint", "lo", *(["bucket"] if hot else [])]
+    if hot:
+        parts = parts.withColumn("bucket", F.when(F.col("fingerprint").isin(hot), day))
     # the copies of a row meet where its stretch is ordered: one exchange for both
-    parts = parts.withColumn("bucket", bucket).repartition(*keys).distinct()
+    parts = parts.repartition(*keys).distinct()
     order = ["recorded_at", F.col("status").asc_nulls_first(), "valid_from", "valid_to"]
     within = Window.partitionBy(*keys).orderBy(*order)
     after = F.lead(F.struct("recorded_at")).over(within)
