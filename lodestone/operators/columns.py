@@ -53,7 +53,7 @@ def column_seeds(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def locator_columns(locator: Column) -> Column:
     """The column names behind ``columns:`` of a locator."""
     rest = F.coalesce(F.get(F.split(locator, "columns:"), F.lit(1)), F.lit(""))
-    return F.filter(F.transform(F.split(rest, ","), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(rest, ","), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def column_focus(asked: DataFrame, claims: DataFrame, nodes: DataFrame) -> DataFrame:

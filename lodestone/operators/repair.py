@@ -90,8 +90,8 @@ def reactivated(claims: DataFrame, confirmed: DataFrame) -> DataFrame:
     own = confirmed.groupBy("fingerprint").agg(F.max("note").alias("_note"))
     j = claims.join(own, "fingerprint", "left")
     hit = (F.col("status") == "stale") & F.col("_note").isNotNull()
-    out = j.withColumn("status", F.when(hit, "active").otherwise(F.col("status"))).withColumn("stale_reason", F.when(~hit, F.col("stale_reason")))
-    return out.withColumn("annotation", F.when(hit, F.col("_note"))).select(*claims.columns, "annotation")
+    new = {"status": F.when(hit, "active").otherwise(F.col("status")), "stale_reason": F.when(~hit, F.col("stale_reason"))}
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in claims.columns], F.when(hit, F.col("_note")).alias("annotation"))
 
 
 def decided(candidates: DataFrame, decisions: DataFrame) -> DataFrame:

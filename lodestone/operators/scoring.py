@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import requirement_terms
 from lodestone.model import INTENTS
 from lodestone.operators.graph import both_ways
+from lodestone.session import materialise
 from lodestone.sources.graph import Graph
 
 # Weights of the signals and the threshold, in basis points.
@@ -25,7 +26,8 @@ def link_candidates(graph: Graph, keep: int = KEEP, evidence: DataFrame | None =
     threshold asks for beside the data signal: these meet by the rarest terms of both sides, never
     as all pairs. Existing links are left out.
     """
-    nodes, edges = graph.nodes, graph.edges
+    nodes = materialise(graph.nodes.select("stable_key", "kind", "identifier", "name", "body", "signature", "file_path", "is_test"), "score-nodes")
+    edges = materialise(graph.edges.select("src", "dst", "kind", "claim_class", "status"), "score-edges")
     intents = nodes.filter(F.col("kind").isin(*INTENTS)).select(F.col("stable_key").alias("intent"), F.col("kind").alias("intent_kind"), requirement_terms(F.concat_ws(" ", "identifier", "name", "body")).alias("ti"))
     symbols = nodes.filter((F.col("kind") == "code_symbol") & ~F.col("is_test")).select(
         F.col("stable_key").alias("symbol"), "file_path", requirement_terms(F.concat_ws(" ", "identifier", "name", "signature")).alias("ts")

@@ -94,7 +94,7 @@ CLAIMS = f"""pick_s AS (SELECT {bucket_sql('stable_key', 97)} AS sb, min(stable_
  pick_t AS (SELECT {bucket_sql('stable_key', 13)} AS tb, min(stable_key) AS test FROM n WHERE is_test GROUP BY 1),
  cj AS (SELECT * FROM (SELECT kind, status, confidence_bp, {bucket_sql('fingerprint', 97)} AS sb, {bucket_sql('fingerprint', 31)} AS ib, {bucket_sql('fingerprint', 13)} AS tb FROM e
  WHERE kind IN ('implements','enforces','satisfies','depends_on','covered_by')) JOIN pick_s USING (sb) JOIN pick_i USING (ib) JOIN pick_t USING (tb)),
- cl AS (SELECT DISTINCT CASE WHEN kind = 'covered_by' THEN intent ELSE symbol END AS src, CASE WHEN kind = 'covered_by' THEN test ELSE intent END AS dst, kind, status, confidence_bp FROM cj
+ gcl AS (SELECT DISTINCT CASE WHEN kind = 'covered_by' THEN intent ELSE symbol END AS src, CASE WHEN kind = 'covered_by' THEN test ELSE intent END AS dst, kind, status, confidence_bp FROM cj
  UNION SELECT DISTINCT symbol, CASE WHEN kind = 'covered_by' THEN test ELSE intent END, kind, status, confidence_bp FROM cj)"""
 ENTITIES = """sm AS (SELECT file_path, b, a FROM sym b JOIN nxt a USING (file_path, canonical)), lb AS (SELECT * FROM sym b WHERE NOT EXISTS (SELECT 1 FROM nxt a WHERE a.file_path = b.file_path AND a.canonical = b.canonical)),
  ra AS (SELECT * FROM nxt a WHERE NOT EXISTS (SELECT 1 FROM sym b WHERE a.file_path = b.file_path AND a.canonical = b.canonical)),

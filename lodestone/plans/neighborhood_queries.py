@@ -215,7 +215,7 @@ _ARTS = """arts AS (SELECT DISTINCT 'issue' AS kind, issue_key AS id, 'jira' AS
 _OWN = f"own AS (SELECT DISTINCT 'commit' AS kind, commit AS id, stable_key AS key FROM ({_ART['changed_symbol_links']}))"
 _LINKS = f"""ln AS (SELECT 'comment' AS sk, comment_id AS s, 'comments_on' AS link, 'issue' AS tk, issue_key AS t FROM jira_comments UNION SELECT 'issue', a, 'related_issue', 'issue', b FROM ({_ART['issue_links']})
  UNION SELECT artifact_kind, external_id, 'references', 'issue', issue_key FROM ({_TEXT['reference_links']}) JOIN documents USING (doc_id) WHERE artifact_kind IN ('merge_request','review_comment'))"""
-_E2 = "e2 AS (SELECT src, dst, kind, status FROM e UNION SELECT src, dst, kind, status FROM cl)"
+_E2 = "e2 AS (SELECT src, dst, kind, status FROM e UNION SELECT src, dst, kind, status FROM gcl)"
 _KNOW = f"""kn0 AS (SELECT DISTINCT own.kind, own.id, e2.dst AS key FROM own JOIN e2 ON e2.src = own.key WHERE e2.status = 'active' AND e2.kind IN ('implements','enforces','satisfies')),
  kn AS (SELECT kn0.kind, kn0.id, row_number() OVER (PARTITION BY kn0.kind, kn0.id ORDER BY identifier, key)::INT AS rank, key, identifier FROM kn0 JOIN n ON n.stable_key = key QUALIFY rank <= 10)"""
 _NAMES = "nm AS (SELECT kind, id, row_number() OVER (PARTITION BY kind, id ORDER BY identifier)::INT AS rank, identifier FROM (SELECT DISTINCT own.kind, own.id, identifier FROM own JOIN n ON n.stable_key = key) QUALIFY rank <= 30)"

@@ -172,7 +172,7 @@ from lodestone.plans.graph_queries import _CALLS, _KIND, GRAPH  # noqa: E402
 _BASE = f"{dv.BASE}, {dv.ENTITIES}"
 _GRADE = "CASE WHEN intent_kind IN ('invariant','requirement') THEN 'high' WHEN intent_kind IN ('feature','decision') THEN 'medium' ELSE 'low' END"
 _BP = "least(CASE WHEN change = 'contract_changed' THEN 10000 ELSE 9000 END, claim_bp)"
-_FOUND = f"""bk AS (SELECT DISTINCT src, dst, n.kind AS intent_kind, least(confidence_bp, 8000) AS claim_bp FROM cl JOIN n ON n.stable_key = dst WHERE cl.kind IN ('implements','enforces','satisfies','depends_on') AND cl.status = 'active' AND n.kind IN ('feature','requirement','invariant','decision')),
+_FOUND = f"""bk AS (SELECT DISTINCT src, dst, n.kind AS intent_kind, least(confidence_bp, 8000) AS claim_bp FROM gcl JOIN n ON n.stable_key = dst WHERE gcl.kind IN ('implements','enforces','satisfies','depends_on') AND gcl.status = 'active' AND n.kind IN ('feature','requirement','invariant','decision')),
  loud AS (SELECT DISTINCT stable_key AS src, change, coalesce(new, old) AS changed FROM en WHERE change NOT IN ('formatting_only','rename','refactor_likely')),
  df AS (SELECT changed, src AS source, dst AS intent, intent_kind, change, {_GRADE} AS severity, {_BP} AS confidence_bp FROM loud JOIN bk USING (src) WHERE {_BP} >= 6500)"""
 _INDIRECT = f"""{_CALLS}, ind AS (SELECT x.identifier AS changed, x.stable_key AS source, bk.dst AS intent, intent_kind, change, {_GRADE} AS severity, {_BP} AS confidence_bp, loud.changed AS via
@@ -183,7 +183,7 @@ _ACTION = " ".join(f"WHEN '{k}' THEN 'Verify the {k} still holds and review the
 _SIDE = lambda name, at: f"{name} AS (SELECT DISTINCT trim(src) AS symbol, {_KIND.format(k='kind')} AS kind, trim(dst) AS target FROM edges WHERE valid_from <= {at} AND (valid_to IS NULL OR valid_to > {at}) AND trim(src) <> '' AND trim(dst) <> '')"
 _ACCESS = f"WITH {_SIDE('x0', dv.T1)}, {_SIDE('y0', dv.T2)}, x AS (SELECT * FROM x0 WHERE kind IN ('reads_from','writes_to')), y AS (SELECT * FROM y0 WHERE kind IN ('reads_from','writes_to'))"
 _AROUND = """SELECT own.entity, own.destructive, own.changes, coalesce(string_agg(DISTINCT m.identifier, ',' ORDER BY m.identifier) FILTER (c.kind IN ('implements','enforces','satisfies')), '') AS intents,
- coalesce(string_agg(DISTINCT m.identifier, ',' ORDER BY m.identifier) FILTER (c.kind = 'covered_by' AND m.is_test), '') AS tests FROM own LEFT JOIN tou ON tou.entity = own.entity LEFT JOIN (SELECT * FROM cl WHERE status = 'active') c ON c.src = tou.symbol
+ coalesce(string_agg(DISTINCT m.identifier, ',' ORDER BY m.identifier) FILTER (c.kind = 'covered_by' AND m.is_test), '') AS tests FROM own LEFT JOIN tou ON tou.entity = own.entity LEFT JOIN (SELECT * FROM gcl WHERE status = 'active') c ON c.src = tou.symbol
  LEFT JOIN n m ON m.stable_key = c.dst GROUP BY ALL"""
 _NAMED = f"""{_BASE}, fs AS (SELECT coalesce(b.file_path, a.file_path) AS file_path, b.s AS bs, a.s AS s FROM (SELECT file_path, list_sort(list((canonical, kind, coalesce(signature, '-'), body))) AS s FROM (SELECT DISTINCT file_path, canonical, kind, signature, body FROM sym) GROUP BY 1) b
  FULL JOIN (SELECT file_path, list_sort(list((canonical, kind, coalesce(signature, '-'), body))) AS s FROM (SELECT DISTINCT file_path, canonical, kind, signature, body FROM nxt) GROUP BY 1) a ON a.file_path = b.file_path),
@@ -218,8 +218,8 @@ ORACLE = {
  SELECT symbol, 'database ' || {_WORD} || ' changed: ' || coalesce(b.t, 'none') || ' -> ' || coalesce(a.t, 'none') AS signal FROM b FULL JOIN a USING (symbol, kind) WHERE a.t IS DISTINCT FROM b.t""",
     "api_findings": f"""{dv.BASE}, ac AS ({_CHANGE['api_changes']}), own AS (SELECT method || ' ' || path AS entity, bool_or(destructive) AS destructive, string_agg(DISTINCT CASE kind WHEN 'contract_modified' THEN 'changed' ELSE kind END || ' ' || method || ' ' || path
  || CASE WHEN details <> '' THEN ' (' || details || ')' ELSE '' END, '; ') AS changes FROM ac GROUP BY 1),
- tou AS (SELECT DISTINCT entity, src AS symbol FROM own JOIN cl ON {dv.bucket_sql('src', 7)} = {dv.bucket_sql('entity', 7)}) {_AROUND}""",
-    "schema_findings": f"{dv.BASE}, {_SCHEMA}, tou AS (SELECT DISTINCT entity, src AS symbol FROM own JOIN cl ON {dv.bucket_sql('src', 11)} = {dv.bucket_sql('entity', 11)}) {_AROUND}",
+ tou AS (SELECT DISTINCT entity, src AS symbol FROM own JOIN gcl ON {dv.bucket_sql('src', 7)} = {dv.bucket_sql('entity', 7)}) {_AROUND}""",
+    "schema_findings": f"{dv.BASE}, {_SCHEMA}, tou AS (SELECT DISTINCT entity, src AS symbol FROM own JOIN gcl ON {dv.bucket_sql('src', 11)} = {dv.bucket_sql('entity', 11)}) {_AROUND}",
     "index_plan": f"{_NAMED} SELECT * FROM plan",
     "index_retired": f"{_NAMED} SELECT key FROM rt",
     "index_summary": f"""{_NAMED} SELECT count(*) AS symbols, count(*) FILTER (mutation = 'create') AS created, count(*) FILTER (mutation = 'version') AS versioned, count(*) FILTER (stale) AS stale, count(*) - count(DISTINCT key) AS doubled,
