@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
+from lodestone import tools
 from lodestone.api import Engine
 
-NO_ARGUMENT = ("status", "freshness", "pending", "candidates", "prune")
-ONE_ARGUMENT = ("find", "impact", "explain", "context", "find_requirements", "trace")
+NO_ARGUMENT = ("status", "freshness", "pending", "candidates", "prune", "coverage", "gaps", "repairs", "health", "serve")
+ONE_ARGUMENT = ("find", "impact", "explain", "context", "find_requirements", "trace", "neighbors", "report")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -22,7 +24,15 @@ def main(argv: list[str] | None = None) -> None:
     if (given.verb in ONE_ARGUMENT) != (given.argument is not None):
         parser.error(f"{given.verb} takes {'one' if given.verb in ONE_ARGUMENT else 'no'} argument")
     spark = SparkSession.builder.appName("lodestone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    verb = getattr(Engine(spark, given.tables), given.verb)
+    engine = Engine(spark, given.tables)
+    if given.verb == "serve":
+        for line in tools.serve(engine, sys.stdin):
+            print(line, flush=True)
+        return
+    if given.verb == "report":
+        engine.report(given.argument)
+        return
+    verb = getattr(engine, given.verb)
     answer = verb(given.argument) if given.verb in ONE_ARGUMENT else verb()
     for line in answer.limit(given.limit).toJSON().collect():
         print(line)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.model import BUCKETS
-from lodestone.operators import context, diff, graph as g, increments, orphans
-from lodestone.plans import artifact_queries, change_queries, graph_queries
+from lodestone import report
+from lodestone.operators import context, diff, graph as g, increments, orphans, repair, scoring, status
+from lodestone.plans import artifact_queries, change_queries, graph_queries, neighborhood_queries
 from lodestone.session import read, scratch
 from lodestone.sources.graph import Graph, load
 
@@ -71,6 +72,7 @@ class Engine:
         return claims.join(intents, "dst").select("src", "identifier", "intent_kind", diff.severity(F.col("intent_kind")).alias("severity"), "confidence_bp", "status")
 
     def status(self) -> DataFrame:
+        """Counts of current nodes and claims."""
         return graph_queries.status_counts(self.spark, self.tables)
 
     def freshness(self) -> DataFrame:
@@ -92,10 +94,45 @@ class Engine:
         out = graph.edges.filter("status = 'active' and kind in ('reads_from', 'writes_to', 'calls_external', 'calls')").join(handlers, "src")
         return out.select("endpoint", F.col("src").alias("handler"), "kind", F.col("dst").alias("target")).distinct()
 
+    def coverage(self) -> DataFrame:
+        """Share of analysed symbols that a claim maps, by kind of symbol."""
+        return graph_queries.coverage_share(self.spark, self.tables)
+
+    def gaps(self) -> DataFrame:
+        """Intents that expect an implementation and have none."""
+        return graph_queries.unmapped_intents(self.spark, self.tables)
+
+    def verify(self, verdicts: DataFrame, at: int) -> DataFrame:
+        """Claims and the rows that verdicts (fingerprint, verdict) add; nothing is overwritten."""
+        columns = ["fingerprint", "src", "dst", "kind", "claim_class", "source_kind", "confidence_bp", "status", "producer", "valid_from"]
+        return repair.recorded(self.graph.edges.select(*columns), verdicts, at)
+
+    def repairs(self) -> DataFrame:
+        """Anchors of documents whose symbol is gone, by what may be done about them."""
+        nodes = read(self.spark, self.tables, "nodes")
+        symbols = lambda n: n.filter("kind = 'code_symbol'").select(F.col("identifier").alias("name"), F.col("stable_key").alias("key"), F.col("content_hash").alias("shape"))
+        return repair.drift(repair.document_links(nodes), symbols(self.graph.nodes), symbols(nodes.filter("retired_commit is not null")))
+
+    def neighbors(self, since: str) -> DataFrame:
+        """What each neighbouring repository offers and whether it changed since an instant."""
+        return status.neighbor_states(read(self.spark, self.tables, "endpoints"), since)
+
+    def health(self) -> DataFrame:
+        """Health of each repository's index and the first notice about it."""
+        intents = self.graph.nodes.filter("kind in ('feature', 'requirement', 'invariant', 'decision')")
+        return status.health(self.freshness(), graph_queries.stale_claims(self.spark, self.tables), self.gaps(), intents)
+
+    def neighborhood(self, kind: str, id: str) -> DataFrame:
+        """What is linked to one artifact, strongest first."""
+        rows = neighborhood_queries.neighborhood_links(self.spark, self.tables)
+        return rows.filter((F.col("kind") == kind) & (F.col("id") == id)).orderBy("rank")
+
+    def report(self, folder: str) -> None:
+        """Write the report as a static site."""
+        report.write_site(report.datasets(self.spark, self.tables), folder)
+
     def candidates(self, keep: int | None = None) -> DataFrame:
         """Links between code and intents worth a review."""
-        from lodestone.operators import scoring
-
         return scoring.link_candidates(self.graph, keep if keep is not None else scoring.KEEP)
 
     def prune(self) -> DataFrame:
