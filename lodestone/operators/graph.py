@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.model import EXPANDING, HOPS, SEMANTIC, STRUCTURAL, WEAK_BP, bucket
 from lodestone.operators.skew import HOT_FLOOR, hot_keys, salted_join
-from lodestone.session import materialise, observed
+from lodestone.session import materialise, observed, together
 from lodestone.sources.graph import Graph
 
 ROUNDS = 200
@@ -44,7 +44,7 @@ def structural_hop(graph: Graph, seeds: DataFrame) -> DataFrame:
 
 
 def semantic_reach(graph: Graph, roots: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(seed, key) met on up to ``hops`` semantic edges from the roots.
+    """(seed, key) met on up to ``hops`` semantic edges from the roots, which are written first.
 
     Rejected claims are invisible; a stale one shows its end and stops there; an inference counts
     at 0.65 and more, and never follows another. Tests do not bridge unless they are the seed;
@@ -57,7 +57,8 @@ def semantic_reach(graph: Graph, roots: DataFrame, seeds: DataFrame, hops: int =
     guess, stale = F.col("claim_class") == "inference", F.col("status") == "stale"
     # what a hop asks of a claim and of the node it starts from, joined once for all hops
     sound = edges.filter(stale | ~guess | (F.col("confidence_bp") >= WEAK_BP)).join(kinds, "key")
-    sound, heavy = observed(sound.select("key", "there", guess.alias("guess"), stale.alias("stale"), "leads", "is_test"), "claims", rows=F.count(F.lit(1)))
+    sound = sound.select("key", "there", guess.alias("guess"), stale.alias("stale"), "leads", "is_test")
+    (sound, heavy), roots = together(lambda: observed(sound, "claims", rows=F.count(F.lit(1))), lambda: materialise(roots, "roots"))
     hot = hot_keys(sound.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "n") if heavy["rows"] >= HOT_FLOOR else []
     seen = roots.withColumn("inferred", F.lit(False))
     frontier = seen.join(seeds.select("seed", "key", F.lit(True).alias("is_seed")), ["seed", "key"], "left")
@@ -92,7 +93,7 @@ def settled(graph: Graph) -> Graph:
     """The graph's traversal columns, derived once and read back by every hop."""
     nodes = graph.nodes.select("stable_key", "identifier", "kind", "is_test")
     edges = graph.edges.select("src", "dst", "kind", "status", "claim_class", "confidence_bp")
-    return Graph(materialise(nodes, "nodes"), materialise(edges, "edges"))
+    return Graph(*together(lambda: materialise(nodes, "nodes"), lambda: materialise(edges, "edges")))
 
 
 def impact(graph: Graph, seeds: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def impact(graph: Graph, seeds: DataFrame) -> DataFrame:
     """
     graph = settled(graph)
     seeds = seeds.select("seed", "key")
-    reached = semantic_reach(graph, materialise(structural_hop(graph, seeds), "roots"), seeds)
+    reached = semantic_reach(graph, structural_hop(graph, seeds), seeds)
     nodes = graph.nodes.select("stable_key", "identifier", bucket(F.col("kind"), F.col("is_test")).alias("bucket"))
     return (
         reached.withColumnRenamed("key", "stable_key").join(nodes, "stable_key").filter(F.col("bucket").isNotNull())
@@ -180,8 +181,8 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """(key, root): connected components by least key, over undirected pairs.
 
     Alternates large-star and small-star contractions: the number of rounds grows with the
-    logarithm of the diameter. Every round is written to the shared folder, and whether it changed
-    anything is seen while it is written. Hubs are dealt out over salts. Raises if ROUNDS are not
+    logarithm of the diameter. Every round is one job, written to the shared folder, and whether it
+    changed anything is seen while it is written. Hubs are dealt out over salts. Raises if ROUNDS are not
     enough.
     """
     sums = {"rows": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
@@ -189,11 +190,11 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     for n in range(ROUNDS):
         around = edges.select("u", "v").union(edges.select("v", "u"))
         large = _contracted(around, F.least(F.min("v"), F.col("u")), before["rows"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter("u <> v").distinct(), f"large-{n}")
+        large = large.filter("u <> v").distinct()  # both uses below share its one exchange
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _contracted(down, F.min("v"), before["rows"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges, after = observed(small.filter("u <> v").distinct(), f"small-{n}", **sums)
+        edges, after = observed(small.filter("u <> v").distinct(), f"star-{n + 1}", **sums)
         if before == after:
             break
         before = after

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import history, increments, orphans
-from lodestone.session import read, scratch
+from lodestone.session import read, scratch, together
 
 
 HALF = "2025-01-01"
@@ -38,15 +38,12 @@ def p1_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = orphans.orphan_references(
-        orphans.edge_references(read(spark, sf_dir, "edges")), orphans.node_records(read(spark, sf_dir, "nodes"))
+    edges, nodes, calls, ends = (read(spark, sf_dir, t) for t in ("edges", "nodes", "external_calls", "endpoints"))
+    both = together(
+        lambda: orphans.orphan_references(orphans.edge_references(edges), orphans.node_records(nodes)),
+        lambda: orphans.orphan_references(orphans.call_references(calls), orphans.endpoint_records(ends), grain=orphans.DAY),
     )
-    calls = orphans.orphan_references(
-        orphans.call_references(read(spark, sf_dir, "external_calls")),
-        orphans.endpoint_records(read(spark, sf_dir, "endpoints")),
-        grain=orphans.DAY,
-    )
-    return edges.unionByName(calls)
+    return both[0].unionByName(both[1])
 
 
 def p2_orphaned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -51,6 +54,12 @@ def observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dic
     return out, seen.get
 
 
+def together(*tasks: Callable[[], object]) -> list:
+    """Results of independent steps whose jobs run side by side, in their order."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that was written so far; frames that read them end with it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lodestone")
