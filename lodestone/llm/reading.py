@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise, ship
+from lodestone.session import materialise, ship, together
 
 LEVELS = 4
 SCALE = np.arange(1, LEVELS + 1)
 SLOPE = 8.0
 OWN, OTHER = 0.7, 0.1
 RIDGE = 1.0
-GAIN, MOST_ROUNDS = 2e-4, 30
+GAIN, MOST_ROUNDS = 1e-3, 30
 LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 20
 MIN_WORDS = 60
 MEMO = 500_000
@@ -284,8 +284,8 @@ def fit(codes: DataFrame, labels: DataFrame, cells: int | None = None) -> Diffic
     Then one pass over the whole corpus gives words that no rated document holds the difficulty of
     the stretches they stand in. No row is sampled.
     """
-    cells = cells or cells_for(codes)
-    known = materialise(codes.join(votes(labels), "doc_id"), "p9-rated")
+    known, counted = together(lambda: materialise(codes.join(votes(labels), "doc_id"), "p9-rated"), lambda: cells or cells_for(codes))
+    cells = counted
     model = Difficulties.of_counts(level_counts(known, cells, None, True))
     best = Difficulties.of_counts(level_counts(known, cells, model, True))
     prior, model, reached = best.difficulty, best, -np.inf
