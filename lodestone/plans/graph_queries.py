@@ -188,6 +188,11 @@ def same_file_renames(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
     gone = nodes.filter("retired_commit is not null").select(F.col("k").alias("old_key"), "file_path", "symbol_kind", "content_hash").distinct()
     here = nodes.filter("retired_commit is null").select(F.col("k").alias("new_key"), "file_path", "symbol_kind", "content_hash").distinct()
+    return renamed(gone, here)
+
+
+def renamed(gone: DataFrame, here: DataFrame) -> DataFrame:
+    """Pairs of a removed and an added symbol that alone share file, kind and content on either side."""
     on = ["file_path", "symbol_kind", "content_hash"]
     olds = gone.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("old_key").alias("old_key")).filter("n = 1").drop("n")
     news = here.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("new_key").alias("new_key")).filter("n = 1").drop("n")
@@ -199,6 +204,11 @@ def prefix_nesting(spark: SparkSession, d: str) -> DataFrame:
     symbols = load(spark, d).nodes.filter("kind = 'code_symbol'").select(
         "stable_key", "file_path", F.regexp_replace("identifier", "::", ".").alias("path")
     )
+    return nested(symbols)
+
+
+def nested(symbols: DataFrame) -> DataFrame:
+    """(stable_key, parent): the longest dotted prefix of a path that is one symbol of the file."""
     parts = F.split("path", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
     children = symbols.filter(F.size(parts) > 1).select("stable_key", "file_path", F.explode(prefixes).alias("prefix"))

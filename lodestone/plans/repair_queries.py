@@ -12,6 +12,7 @@ from lodestone.operators.artifacts import issue_links
 from lodestone.operators.orphans import clean_key
 from lodestone.plans import derived as dv
 from lodestone.plans.change_queries import freshness
+from lodestone.plans import graph_queries
 from lodestone.plans.graph_queries import stale_claims, unmapped_intents
 from lodestone.session import read
 from lodestone.sources.graph import Graph, load
@@ -241,6 +242,23 @@ def owner_nesting(spark: SparkSession, d: str) -> DataFrame:
     return n.filter(owner != "").groupBy(owner.alias("owner")).agg(F.count(F.lit(1)).alias("symbols"))
 
 
+def derived_nesting(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols below their owners, which stand beside them as derived symbols of the file."""
+    n = load(spark, d).nodes.filter("kind = 'code_symbol' and file_path is not null")
+    own = n.select("stable_key", "file_path", F.regexp_replace("identifier", "::", ".").alias("path"))
+    owner = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
+    made = own.select("file_path", owner.alias("path")).filter("path <> ''").distinct().select(F.concat_ws("|", F.lit("owner"), "file_path", "path").alias("stable_key"), "file_path", "path")
+    return graph_queries.nested(own.unionByName(made))
+
+
+def derived_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Renames inside files between the symbols and their derived second state."""
+    sym = dv.symbols(load(spark, d))
+    after = dv.later(sym)
+    part = lambda df, other, name: df.join(other.select("file_path", "canonical"), ["file_path", "canonical"], "left_anti").select(F.concat_ws("@", "canonical", "kind").alias(name), "file_path", F.col("kind").alias("symbol_kind"), F.col("shape").alias("content_hash")).distinct()
+    return graph_queries.renamed(part(sym, after, "old_key"), part(after, sym, "new_key"))
+
+
 def late_comment_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Comments by project whose issue was not fetched in the first half."""
     known = read(spark, d, "jira_issues").filter(F.col("fetched_at") < _half()).select("issue_key").distinct()
@@ -258,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_drift, drift_suggestions, repaired_links, stale_rejects, recorded_verdicts, reactivated_claims, candidate_decisions, offered_candidates, cascade_delete, first_free_ids, claim_batches, document_anchors, confirmed_anchors,
-        new_decisions, tree_paths, batch_blobs, working_changes, branch_commits, grounded_merge_requests, unavailable_keys, neighbor_states, call_overrides, repositories, source_rows, index_health, derived_ddl, owner_nesting,
+        new_decisions, tree_paths, batch_blobs, working_changes, branch_commits, grounded_merge_requests, unavailable_keys, neighbor_states, call_overrides, repositories, source_rows, index_health, derived_ddl, owner_nesting, derived_nesting, derived_renames,
         late_comment_orphans, grafted_scores,
     )
 }
@@ -332,6 +350,12 @@ ORACLE = {
  CASE freshness WHEN 'not_indexed' THEN 'No commit has been indexed.' WHEN 'behind' THEN 'The graph is behind the newest commit.' ELSE CASE WHEN stale > 0 THEN stale || ' semantic relationships are stale.' WHEN intents = 0 THEN 'No documents are indexed.' WHEN unmapped > 0 THEN unmapped || ' documents have no active mapping.' ELSE '' END END AS notice FROM f, s, u, i""",
     "derived_ddl": f"""WITH {GRAPH} SELECT identifier AS entity, unnest(['create','add','add','add','drop']) AS op, unnest([NULL,'id','note','extra','note']) AS "column", unnest([NULL,'bigint','text','int',NULL]) AS data_type FROM n WHERE kind = 'db_entity'""",
     "owner_nesting": f"WITH {GRAPH}, p AS (SELECT regexp_extract(replace(identifier, '::', '.'), '^(.*)\\.[^.]*$', 1) AS owner FROM n WHERE kind = 'code_symbol') SELECT owner, count(*) AS symbols FROM p WHERE owner <> '' GROUP BY owner",
+    "derived_nesting": f"""WITH {GRAPH}, s0 AS (SELECT stable_key, file_path, replace(identifier, '::', '.') AS path FROM n WHERE kind = 'code_symbol' AND file_path IS NOT NULL), w AS (SELECT DISTINCT file_path, regexp_extract(path, '^(.*)\\.[^.]*$', 1) AS path FROM s0),
+ s AS (SELECT * FROM s0 UNION ALL SELECT 'owner|' || file_path || '|' || path, file_path, path FROM w WHERE path <> ''), p AS (SELECT file_path, path, min(stable_key) AS parent FROM s GROUP BY 1, 2 HAVING count(*) = 1)
+ SELECT s.stable_key, arg_max(parent, length(p.path)) AS parent FROM s JOIN p ON p.file_path = s.file_path AND starts_with(s.path, p.path || '.') GROUP BY s.stable_key""",
+    "derived_renames": f"""{dv.BASE}, o AS (SELECT file_path, kind, shape, min(canonical || '@' || kind) AS old_key FROM (SELECT DISTINCT * FROM sym s WHERE NOT EXISTS (SELECT 1 FROM nxt a WHERE a.file_path = s.file_path AND a.canonical = s.canonical)) GROUP BY 1, 2, 3 HAVING count(DISTINCT canonical) = 1),
+ w AS (SELECT file_path, kind, shape, min(canonical || '@' || kind) AS new_key FROM nxt a WHERE NOT EXISTS (SELECT 1 FROM sym s WHERE a.file_path = s.file_path AND a.canonical = s.canonical) GROUP BY 1, 2, 3 HAVING count(DISTINCT canonical) = 1)
+ SELECT file_path, old_key, new_key FROM o JOIN w USING (file_path, kind, shape) WHERE old_key <> new_key""",
     "late_comment_orphans": """SELECT string_split(issue_key, '-')[1] AS project, count(*) AS comments, count(DISTINCT issue_key) AS issues FROM (SELECT DISTINCT comment_id, issue_key FROM jira_comments)
  WHERE issue_key NOT IN (SELECT issue_key FROM jira_issues WHERE fetched_at < TIMESTAMP '2025-01-01') GROUP BY 1""",
 }
