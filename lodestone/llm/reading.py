@@ -28,6 +28,7 @@ SCALE = np.arange(1, LEVELS + 1)
 SLOPE = 8.0
 OWN, OTHER = 0.7, 0.1
 RIDGE = 1.0
+PULL = 0.1  # weight of the middle level in the counts of a word
 GAIN, MOST_ROUNDS = 1e-3, 30
 LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 20
 MIN_WORDS = 60
@@ -124,9 +125,9 @@ class Difficulties:
         total = counts.sum(0)
         even = counts * (total.sum() / LEVELS / np.where(total > 0, total, 1))
         n = even.sum(1)
-        half, middle = 0.5, SCALE.mean()
-        mean = (even @ SCALE + half * middle) / (n + half)
-        spread = np.maximum((even @ SCALE**2 + half * (SCALE**2).mean()) / (n + half) - mean**2, 0)
+        middle = SCALE.mean()
+        mean = (even @ SCALE + PULL * middle) / (n + PULL)
+        spread = np.maximum((even @ SCALE**2 + PULL * (SCALE**2).mean()) / (n + PULL) - mean**2, 0)
         met = n > 0
         difficulty = np.zeros(len(n))
         difficulty[met] = difficulties(mean[met])
