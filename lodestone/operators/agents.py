@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Verdicts that count.
 VERDICTS = ("confirm", "reject")
 
 

@@ -63,6 +63,7 @@ def behavior_bp(change: Column) -> Column:
     return F.when(change.isin("formatting_only", "rename", "contract_changed"), 10000).when(change == "refactor_likely", 7500).when(change == "behavior_potentially_changed", 9000).otherwise(6500)
 
 
+# The words of suggested actions.
 def suggested_action(intent_kind: Column, tests_changed: Column) -> Column:
     """What a reviewer should do about a finding."""
     act = F.lit("Verify the product intent remains accurate for this behavior change.")

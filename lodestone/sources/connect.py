@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+# Statuses worth another attempt.
 RETRY = (429, 502, 503, 504)
 
 
