@@ -148,10 +148,14 @@ _ID = (
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{3}[- ]?\d{2}[- ]?\d{4}|\d{2} ?\d{3} ?\d{3} ?\d{3}|\d{8} ?-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"
     r"|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]{1,2} ?\d{6,8}|\d{9,12}"
 )
+# Labels before identity numbers.
+ID_LABEL = (
+    "ssn", "social security", "nino", "ni number", "national insurance", r"steuer-?id(?:entifikationsnummer|nr\.?)?", "steuernummer", "tax id", "dni", "nie", "nif", "documento", "passport", "reisepass", "passeport", "pasaporte",
+    r"carte d['’]identit[ée]", "personalausweis", "id card", r"num[ée]ro fiscal", "insee",
+)
 ID_LABELLED = re.compile(
-    r"(?<![^\W_])(?i:ssn|social security|nino|ni number|national insurance|steuer-?id(?:entifikationsnummer|nr\.?)?|steuernummer|tax id"
-    r"|dni|nie|nif|documento|passport|reisepass|passeport|pasaporte|carte d['’]identit[ée]|personalausweis|id card|num[ée]ro fiscal|insee)"
-    r"(?:\s*(?i:no\.?|nr\.?|num(?:ber|mer|éro|ero)|n[º°]|id|:|#|=|-))*\s*(" + _ID + r")(?![\w]|-\d)"
+    rf"[{''.join(sorted({c for x in ID_LABEL for c in (x[0], x[0].upper())}))}](?<![^\W_].)(?i:{'|'.join(f'(?<={x[0]}){x[1:]}' for x in ID_LABEL)})"
+    r"(?:\s*(?i:no\.?|nr\.?|num(?:ber|mer|éro|ero)|n[º°]|id|:|#|=|-))*\s*(" + _ID + r")(?![\w]|-\d)", re.S
 )
 ID_PLAIN = re.compile(
     r"[\dA-CEGHJ-PR-TW-ZQ](?<![\w.-].)(?:(?<=\d)\d{2}-\d{2}-\d{4}|(?<=[A-CEGHJ-PR-TW-Z])[A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]"
@@ -469,11 +473,22 @@ def _scan(comments: DataFrame, lexicon: Lexicon, key: str, fields: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        seen: dict[str | None, list] = {}  # finds of names that come again and again
+
+        def found(text: str | None, whole_name: bool) -> list[tuple[str, int, int]]:
+            if not whole_name:
+                return find(text, own)
+            if text not in seen:
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen[text] = find(text, own, True)
+            return seen[text]
+
         for batch in batches:
             rows: list[tuple] = []
             for n, name in enumerate(fields):
                 for k, text in enumerate(batch.column(n + 1).to_pylist()):
-                    for what, a, b in find(text, own, name == people):
+                    for what, a, b in found(text, name == people):
                         rows.append((k, name, what, a, own.kinds.keys_of(WORD.findall(unveil(text[a:b]).text)) if what == "name" else None))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
