@@ -56,8 +56,9 @@ def observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dic
 
 def together(*tasks: Callable[[], object]) -> list:
     """Results of independent steps whose jobs run side by side, in their order."""
+    own = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(tasks)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(own(t)) for t in tasks]]
 
 
 def release(spark: SparkSession) -> None:
